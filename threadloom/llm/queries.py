@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from threadloom.llm.line_dedup import OP7_SQL, op7_line_dedup
+from threadloom.llm.ngram_join import OP8_SQL, op8_ngram_join
 from threadloom.llm.packing import op10_packing
 from threadloom.llm.records import op9_binary_records
 from threadloom.llm.token_counts import op4_token_counts
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op7_line_dedup, op9_binary_records, op10_packing)}
-ORACLE: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op7_line_dedup, op8_ngram_join, op9_binary_records, op10_packing)}
+ORACLE: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL}
