@@ -348,7 +348,7 @@ def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     mark = F.xxhash64(html_col)
     chosen = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) > 0)).select(host_of(F.col(url_col)).alias("host"), F.pmod(mark, F.lit(references)).alias("share"), mark.alias("mark"), F.col(html_col).alias("html")).where("host <> ''").groupBy("host", "share").agg(F.min_by("html", "mark").alias("html"))
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         ordered = [h for _, h in sorted(zip(rows.column("share").to_pylist(), rows.column("html").to_pylist()))]
         w = induce(ordered)
         return pa.table({"host": pa.array([key[0].as_py()] if w else [], pa.string()), "wrapper": pa.array([json.dumps(w, ensure_ascii=False, separators=(",", ":"))] if w else [], pa.string())})
