@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from threadloom.llm.decontaminate import op2_decontamination
 from threadloom.llm.knn import OP5_SQL, op5_topk_search
 from threadloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from threadloom.llm.lm_scores import op6_lm_scores
@@ -12,5 +13,5 @@ from threadloom.llm.records import op9_binary_records
 from threadloom.llm.token_counts import op4_token_counts
 from threadloom.llm.wrapper import op1_html_extraction
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_quality, op4_token_counts, op5_topk_search, op6_lm_scores, op7_line_dedup, op8_ngram_join, op9_binary_records, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_decontamination, op3_quality, op4_token_counts, op5_topk_search, op6_lm_scores, op7_line_dedup, op8_ngram_join, op9_binary_records, op10_packing)}
 ORACLE: dict[str, str] = {"op5_topk_search": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL}
