@@ -30,7 +30,7 @@ COSINE = 0.4
 COVER = 0.6
 ANSWER = 0.5
 STRETCH = 2.0
-COMMON = 0.02
+COMMON = 0.001
 RARE = 8
 BLOCK_ITEMS = 2000
 SEED = 7
