@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import filterfalse
 
 import numpy as np
 
@@ -18,9 +19,25 @@ ODD = re.compile("[\x1c-\x1f]")
 PAIR = re.compile(r"\s\s")
 CHUNK = re.compile(r"\s*\S+|\s+")
 LONG = 64
+#: Characters of which every Unicode version agrees what they are, and which normal forms and lower-casing treat one by one.
+SAFE = re.compile("[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u0148\u014a-\u017e]*")
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The two vocabularies' patterns for such characters (fixed values; see the tokenizers' files).
+BYTE_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \t\n\r{_L}{_N}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+WORD_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ \t\n\r{_L}{_N}]+")
 _codecs: dict = {}
 
 
+def _byte_chars() -> dict[int, int]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself where it prints, else the next free character from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -30,11 +47,12 @@ def tokenizer_path(name: str) -> str:
 class WordCodec:
     """keep: "ids" for little-endian uint32 bytes, "count" for numbers of tokens. At most max_entries pieces are cached; a full cache starts anew from `base`."""
 
-    def __init__(self, path: str, keep: str = "ids", max_entries: int = 400_000):
+    def __init__(self, path: str, keep: str = "ids", max_entries: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model, self.parts = self.tok.model, {}
         self.keep, self.max_entries = keep, max_entries
         self.drops_space = "ByteLevel" != type(self.tok.pre_tokenizer).__name__
         self.base: dict = {}
@@ -65,41 +83,46 @@ class WordCodec:
         return [x[1:] if x[0] == " " else "\0" + x for x in CHUNK.findall(text)]
 
     def _learn(self, keys: list[str]) -> None:
-        tok, cache = self.tok, self.cache
-        if self.drops_space:
-            plain, rest = [k for k in keys if len(k) <= LONG], [k for k in keys if len(k) > LONG]
-        else:
-            plain, rest = [], []
-            for k in keys:
-                (plain if k and k[0] != "\0" and len(k) <= LONG and not k[0].isspace() and not k[-1].isspace() else rest).append(k)
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            enc = tok.encode(" " + " ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(k) + 1 for k in some[:-1]])
-            offsets = np.fromiter((o[0] for o in enc.offsets), dtype=np.int64, count=len(enc.offsets))
-            counts = np.bincount(np.searchsorted(starts, offsets, "right") - 1, minlength=len(some))
-            if self.keep == "count":
-                cache.update(zip(some, counts.tolist()))
+        """Encode new pieces. Those of safe characters go part by part to the model (parts repeat even more than pieces), others to the tokenizer as they are."""
+        cache, known, rest = self.cache, self.parts, []
+        if len(known) > self.max_entries:
+            known.clear()
+        get, count = known.get, self.keep == "count"
+        for key in keys:
+            if len(key) > LONG or "<|" in key or not SAFE.fullmatch(key):
+                rest.append(key)
+                continue
+            if self.drops_space:
+                parts = WORD_PARTS.findall(key.lower())
             else:
-                ids = np.asarray(enc.ids, dtype="<u4").tobytes()
-                ends = (np.cumsum(counts) * 4).tolist()
-                cache.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends))))
+                parts = BYTE_PARTS.findall(" " + key)
+            values = []
+            for x in parts:
+                v = get(x)
+                if v is None:
+                    v = known[x] = self._part(x)
+                values.append(v)
+            cache[key] = sum(values) if count else values[0] if len(values) == 1 else b"".join(values)
         if rest:
             whole = rest if self.drops_space else [k[1:] if k[:1] == "\0" else " " + k for k in rest]
-            for k, e in zip(rest, tok.encode_batch_fast(whole, add_special_tokens=False)):
+            for k, e in zip(rest, self.tok.encode_batch_fast(whole, add_special_tokens=False)):
                 cache[k] = self._value(e.ids)
 
+    def _part(self, part: str):
+        mapped = part.encode().decode("latin-1").translate(BYTE_CHARS)
+        return self._value([t.id for t in self.model.tokenize(mapped)])
+
     def encode(self, texts: list[str]) -> list:
         """Per text the ids' bytes, or the count."""
         split = [self.pieces(t) for t in texts]
-        known = set()
-        for s in split:
-            if s:
-                known.update(s)
-        miss = known.difference(self.cache)
+        def unknown() -> set:
+            has = self.cache.__contains__
+            return set().union(*(filterfalse(has, s) for s in split if s))
+
+        miss = unknown()
         if miss and len(self.cache) + len(miss) > self.max_entries:
             self.cache = dict(self.base)
-            miss = known.difference(self.cache)
+            miss = unknown()
         if miss:
             self._learn(list(miss))
         get = self.cache.__getitem__
@@ -111,7 +134,7 @@ class WordCodec:
         return out
 
 
-def codec(path: str, keep: str = "ids", max_entries: int = 400_000) -> WordCodec:
+def codec(path: str, keep: str = "ids", max_entries: int = 800_000) -> WordCodec:
     """This worker's codec; it outlives a task."""
     key = (path, keep, max_entries)
     if key not in _codecs:
