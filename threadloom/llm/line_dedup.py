@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import ascii_lower, scratch, shuffle_partitions, table
+from threadloom.llm.common import ascii_lower, materialize, scratch, shuffle_partitions, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -43,9 +43,10 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     n_parts = shuffle_partitions(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), lines_of(F.col(text_col)).alias("lines"))
-    hashes = F.transform("lines", lambda x: _hash(x, min_chars))
-    held = rows.select("doc_id", F.explode(F.array_distinct(F.filter(hashes, lambda h: h.isNotNull()))).alias("h"))
+    hashes = F.transform(lines_of(F.col(text_col)), lambda x: _hash(x, min_chars))
+    # hashed once; what follows reads this table instead of the texts
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), hashes.alias("hashes")), "line-hashes")
+    held = rows.select("doc_id", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h"))
     counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
     path = scratch(spark, "line-counts")
     counts.where(F.col("n") > 1).write.parquet(path)
@@ -53,7 +54,7 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(min_docs, total // (4 * n_parts) + 1)
     hot = F.broadcast(counts.where(F.col("n") >= least).withColumnRenamed("h", "hot_h"))
-    lines = rows.select("doc_id", "row_hash", F.posexplode(hashes).alias("pos", "h")).where("h is not null")
+    lines = rows.select("doc_id", "row_hash", F.posexplode("hashes").alias("pos", "h")).where("h is not null")
     marked = lines.join(hot, F.col("h") == F.col("hot_h"), "left")
     of_hot = marked.where("hot_h is not null and not (doc_id <=> last)").select("doc_id", "row_hash", "pos")
     rest = marked.where("hot_h is null").select("h", "doc_id", "row_hash", "pos")
