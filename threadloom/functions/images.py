@@ -10,6 +10,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PNG = b"\x89PNG\r\n\x1a\n"
 BLANK_OVER = 1024
@@ -45,7 +46,7 @@ def image_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<width:int,height:int>")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def any_image_size(data: pd.Series) -> pd.DataFrame:
     sizes = [image_size(d) if d is not None else None for d in data]
     return pd.DataFrame({"width": pd.array([s and s[0] for s in sizes], "Int32"), "height": pd.array([s and s[1] for s in sizes], "Int32")})

@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -95,7 +96,7 @@ def terms(text: str | None) -> list[str]:
     return [stem(w) for w in _WORD.findall(fold(text or ""))]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed_tokens(text: pd.Series) -> pd.Series:
     """terms() of a column, by Arrow batches."""
     return text.map(terms)

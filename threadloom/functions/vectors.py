@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,13 +34,13 @@ def is_valid(a: Column) -> Column:
     return ~F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (norm(a) > 0)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_vector(v: pd.Series) -> pd.Series:
     """Little-endian float32 bytes."""
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack_vector(raw: pd.Series, dim: pd.Series) -> pd.Series:
     """The vector of these bytes; a length that isn't 4 * dim raises ValueError."""
 

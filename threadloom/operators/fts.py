@@ -208,10 +208,19 @@ def _starts(p: Phrase) -> Column:
     places = [F.col(f"p{p.number}_{j}") for j in range(len(p.words))]
     out = places[0]
     for j, c in enumerate(places[1:], 1):
-        out = F.array_intersect(out, F.transform(c, lambda x, j=j: x - j))
+        out = F.array_intersect(out, _shifted(c, j))
     return F.filter(out, lambda x: x == 0) if p.first else out
 
 
+def _shifted(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
+def _close(places: Column, length: int, others: Column, other_length: int, distance: int) -> Column:
+    """Places from which a phrase has one of the others, at most `distance` words between them."""
+    return F.filter(places, lambda x: F.exists(others, lambda y: F.when(y >= x, y - x - length).otherwise(x - y - other_length) <= distance))
+
+
 def _positions(p: Phrase) -> list[Column]:
     out = []
     for j, w in enumerate(p.words):
@@ -227,8 +236,7 @@ def _near(node: Near) -> dict[int, Column]:
         ok = F.col(f"s{p.number}")
         for q in node.phrases:
             if q is not p:
-                other, lp, lq, d = F.col(f"s{q.number}"), len(p.words), len(q.words), node.distance
-                ok = F.filter(ok, lambda x, o=other, lp=lp, lq=lq, d=d: F.exists(o, lambda y: F.when(y >= x, y - x - lp).otherwise(x - y - lq) <= d))
+                ok = _close(ok, len(p.words), F.col(f"s{q.number}"), len(q.words), node.distance)
         out[p.number] = ok
     return out
 
