@@ -53,9 +53,13 @@ def _longest(word: str, suffixes):
 
 
 @lru_cache(maxsize=200_000)
-def stem(w: str) -> str:
-    if len(w) < 3 or len(w) > 64 or not w.isascii() or not w.isalpha():
-        return w
+def stem(word: str) -> str:
+    """Bytes count as letters, as in the index that this one matches; those outside ASCII are consonants."""
+    raw = word.encode()
+    return word if len(raw) < 3 or len(raw) > 64 else _stem(raw.decode("latin-1")).encode("latin-1").decode("utf-8", "replace")
+
+
+def _stem(w: str) -> str:
     for suffix, to in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
         if w.endswith(suffix):
             w = w[: len(w) - len(suffix)] + to

@@ -196,7 +196,7 @@ def refresh(old: Index, changed: DataFrame, deleted: DataFrame) -> Index:
     """The index after messages (of `changed`) were added or altered and ids (of `deleted`) removed: only their rows are made anew."""
     gone = deleted.select("msg_id").unionByName(changed.select("msg_id")).distinct()
     new = index(changed, old.stemmed)
-    return Index(old.postings.join(gone, "msg_id", "left_anti").unionByName(new.postings), old.doc_stats.join(gone, "msg_id", "left_anti").unionByName(new.doc_stats), old.stemmed)
+    return Index(old.postings.join(gone, "msg_id", "left_anti").select(*old.postings.columns).unionByName(new.postings), old.doc_stats.join(gone, "msg_id", "left_anti").unionByName(new.doc_stats), old.stemmed)
 
 
 def corpus_stats(idx: Index) -> DataFrame:
@@ -287,8 +287,8 @@ def search_index(idx: Index, query: str) -> DataFrame:
     hits = idx.postings.where(condition).groupBy("msg_id").agg(*[c for p in live for c in _positions(p)])
     hits = hits.select("msg_id", *[_starts(p).alias(f"s{p.number}") for p in live])
     narrowed = {k: c for n in _nears(tree) for k, c in _near(n).items()}
-    hits = hits.select("msg_id", *[F.size(narrowed.get(p.number, F.col(f"s{p.number}"))).alias(f"tf{p.number}") for p in live])
-    stats = hits.agg(*[F.count_if(F.col(f"tf{p.number}") > 0).alias(f"n{p.number}") for p in live]).crossJoin(F.broadcast(corpus_stats(idx)))
+    hits = hits.select("msg_id", *[F.size(narrowed.get(p.number, F.col(f"s{p.number}"))).alias(f"tf{p.number}") for p in live], *[(F.size(f"s{p.number}") > 0).alias(f"has{p.number}") for p in live])
+    stats = hits.agg(*[F.count_if(f"has{p.number}").alias(f"n{p.number}") for p in live]).crossJoin(F.broadcast(corpus_stats(idx)))
 
     def weight(p: Phrase) -> Column:
         n, tf = F.col(f"n{p.number}"), F.col(f"tf{p.number}")
