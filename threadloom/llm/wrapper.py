@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import materialize, table
 
 REFERENCES = 5
+SUPPORT = 3
 BROADCAST_BYTES = 16 << 20
 MAX_DEPTH = 150
 
@@ -226,7 +227,7 @@ def induce(pages: list[str]) -> list | None:
                 same[id(q)] = same.get(id(q), 0) + (p[2] == q[2])
 
     def settle(w):
-        if w[0] == "#text" and (not seen.get(id(w)) or same[id(w)] < seen[id(w)]):
+        if w[0] == "#text" and (seen.get(id(w), 0) < min(SUPPORT, len(trees) - 1) or same[id(w)] < seen[id(w)]):
             w[2] = None
         for c in w[4]:
             settle(c)
@@ -289,23 +290,24 @@ def content_slot(root: Node) -> Node:
 
 
 def blocks(slot: Node) -> list[str]:
-    """The slot's blocks of text, white space made single."""
-    total, varying = _amount(slot)
-    # a slot that is template for the most part is one that copies share, not a template
-    drop = varying >= 0.5 * total
-    out: list[str] = []
+    """The slot's blocks of text, white space made single; without those that are template as a whole."""
+    out: list[tuple[str, bool]] = []
     now: list[str] = []
+    template = True
 
     def cut():
+        nonlocal template
         text = " ".join("".join(now).split())
         if text:
-            out.append(text)
+            out.append((text, template))
         now.clear()
+        template = True
 
     def walk(node, top=False):
+        nonlocal template
         if node.tag == "#text":
-            if not (drop and node.template):
-                now.append(node.name)
+            now.append(node.name)
+            template = template and node.template
             return
         if node.tag in ("#space", "br", "wbr", "td", "th"):
             now.append(" ")
@@ -327,7 +329,9 @@ def blocks(slot: Node) -> list[str]:
 
     walk(slot, True)
     cut()
-    return out
+    content = [t for t, is_template in out if not is_template]
+    # a slot that is template for the most part is one that copies share, not a template
+    return content if 2 * sum(map(len, content)) >= sum(len(t) for t, _ in out) else [t for t, _ in out]
 
 
 def main_text(html: str | None, wrapper: list | None = None) -> str:
