@@ -135,7 +135,7 @@ def test_lcs():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         n, begin, end = decontaminate.lcs_span(np.array(a), np.array(b))
-        assert n == table[-1][-1] and 0 <= begin <= end <= len(b) and end - begin >= n
+        assert n == table[-1][-1] == decontaminate.lcs_length(a, b) and 0 <= begin <= end <= len(b) and end - begin >= n
 
 
 @pytest.mark.parametrize("rank", [2, 8])

@@ -26,7 +26,7 @@ from threadloom.llm.common import table, text_groups
 
 TILE = 24
 RANK = 256
-COSINE = 0.4
+COSINE = 0.5
 COVER = 0.6
 ANSWER = 0.5
 STRETCH = 2.0
@@ -51,6 +51,7 @@ class Items:
         self.words = [words_of(t) for _, t in rows]
         self.terms = {w: k for k, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
         self.coded = [np.array([self.terms[w] for w in ws], np.int32) for ws in self.words]
+        self.times = [np.unique(c, return_counts=True) for c in self.coded]
         last = [[s for s in re.split(r"(?<=[.!?…])\s+|\n+", t.strip()) if len(words_of(s)) > 1] or [t] for _, t in rows]
         self.tails = [np.array([self.terms[w] for w in words_of(s[-1])], np.int32) for s in last]
 
@@ -71,6 +72,21 @@ def tiles(coded: list[np.ndarray], n_terms: int) -> tuple[np.ndarray, np.ndarray
     return key // n_terms, key % n_terms, times, base
 
 
+def lcs_length(item: list[int], words: list[int]) -> int:
+    """Length of a longest common subsequence, by bit-parallel rows (Hyyro, 2004): a row is one integer."""
+    places: dict[int, int] = {}
+    bit = 1
+    for w in words:
+        places[w] = places.get(w, 0) | bit
+        bit <<= 1
+    full = bit - 1
+    row = full
+    for t in item:
+        hit = row & places.get(t, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(words) - row.bit_count()
+
+
 def lcs_span(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Length of a longest common subsequence, and where in words it begins and ends (the shortest end-first choice)."""
     n = len(words)
@@ -297,7 +313,12 @@ def _confirm(items: Items, weight: np.ndarray, words: np.ndarray, cand: tuple, c
     best = None
     for tile in range(cand[2], cand[5] + 1, max(1, margin // TILE)):
         a, b = max(0, tile * TILE - margin), min(len(words), (tile + 2) * TILE + margin)
-        n, begin, end = lcs_span(item, words[a:b])
+        part = words[a:b]
+        # a subsequence can't be longer than what the two have in common, nor need its place be known if it is too short
+        common = np.minimum(items.times[cand[3]][1], np.bincount(part[part >= 0], minlength=len(weight))[items.times[cand[3]][0]]).sum()
+        if common < cover * len(item) or lcs_length(item.tolist(), part.tolist()) < cover * len(item):
+            continue
+        n, begin, end = lcs_span(item, part)
         if n >= cover * len(item) and end - begin <= STRETCH * len(item) and (best is None or n > best[0]):
             there = set(words[a + begin : a + end + len(item) // 4].tolist())
             tail = np.unique(items.tails[cand[3]])
