@@ -144,9 +144,9 @@ def envelope(text: str, event: str = "UserPromptSubmit") -> str:
     return json.dumps({"hookSpecificOutput": {"hookEventName": event, "additionalContext": text}} if text else {}, ensure_ascii=False)
 
 
-def compose_context(interventions: str, recall: str) -> str:
-    """Standing instructions before what was recalled, with a rule between them."""
-    return "\n\n---\n\n".join(x for x in (interventions.strip(), recall) if x)
+def compose_context(interventions: str, found: str) -> str:
+    """Standing instructions before what was found, with a rule between them."""
+    return "\n\n---\n\n".join(x for x in (interventions.strip(), found) if x)
 
 
 def format_response(r: Response, form: str = "text") -> str:
