@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import materialize, shuffle_partitions
 
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 4 << 20
 REPLY = "chunk long, kind int, range int, counts binary, n_keys long, n_total long"
 _level = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
