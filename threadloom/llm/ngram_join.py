@@ -102,15 +102,17 @@ def _info(cols):
 
 def _list_tokens(batches):
     for batch in batches:
-        tokens, at, of = [], [], []
+        tokens, before, at, of = [], [], [], []
         for i, raw in enumerate(batch.column(2)):
             a = np.frombuffer(raw.as_py(), np.uint64)
             m = len(a) // 2
-            tokens.append(a[:m].view(np.int64))
+            t = a[:m].view(np.int64)
+            tokens.append(t)
+            before.append(np.concatenate([[-1], t[:-1]]))
             at.append(a[m:].view(np.int64))
             of.append(np.full(m, i))
         of = pa.array(np.concatenate(of))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(at)), batch.column(0).take(of), batch.column(1).take(of)], ["token", "at", "grp", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(before)), pa.array(np.concatenate(at)), batch.column(0).take(of), batch.column(1).take(of)], ["token", "before", "at", "grp", "n"])
 
 
 def _neighbours(batches):
@@ -167,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = info.where("tokens is not null")
     nodes = materialize(shared.groupBy("node").agg(F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("members").alias("members")), "nodes")
     groups = nodes.groupBy("grp").agg(F.min("node").alias("head"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("size"))
-    lists = materialize(groups.select("grp", "n", "tokens").mapInArrow(_list_tokens, "token long, at long, grp binary, n long"), "lists")
+    lists = materialize(groups.select("grp", "n", "tokens").mapInArrow(_list_tokens, "token long, before long, at long, grp binary, n long"), "lists")
     heads = groups.select("grp", "head")
     # first: neighbours along the lists, and along the groups of several nodes
     along = lists.join(heads, "grp").repartitionByRange(parts, "token", "n", "head").sortWithinPartitions("token", "n", "head").select("token", "head").mapInArrow(_neighbours, "a binary, b binary")
@@ -180,12 +182,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_lists = lists.join(spread, "grp")
     mixed = open_lists.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
     open_lists = materialize(open_lists.join(mixed, "token", "left_semi"), "open-lists")
-    left = open_lists.select("token", "at", F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    right = open_lists.select(F.col("token").alias("t"), F.col("at").alias("at_b"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    left = open_lists.select("token", "before", "at", F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    right = open_lists.select(F.col("token").alias("t"), F.col("before").alias("before_b"), F.col("at").alias("at_b"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    # at most what lies from the shared shingle on can be common, besides what comes before it in the shorter prefix
-    most = F.least("at", "at_b") + F.least(F.col("na") - F.col("at"), F.col("nb") - F.col("at_b"))
-    place = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+    # A pair counts at the first shingle that its prefixes share: what is common lies from there on. Where the listed shingles
+    # before it are the same, they have met on an earlier list.
+    place = (100 + percent) * F.least(F.col("na") - F.col("at"), F.col("nb") - F.col("at_b")) >= percent * (F.col("na") + F.col("nb"))
+    place &= (F.col("before") != F.col("before_b")) | (F.col("before") == -1)
     apart = ~((F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b")))
     pairs = left.join(right, (F.col("token") == F.col("t")) & (F.col("ga") < F.col("gb")) & sizes & place & apart).select("ga", "gb").distinct()
     within = spread.where("lo <> hi").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
