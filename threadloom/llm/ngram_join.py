@@ -6,9 +6,9 @@ one of the first n - ceil(t n) + 1 shingles of each in that order, its prefix; s
 left out of it. Documents with one set are one node. Nodes whose prefixes and sizes are the same form a group, and only groups
 are listed under the shingles of their prefix.
 
-Groups are joined in two steps. First, along each list (and inside each group), ordered by size, only neighbours are verified:
-a list of any length is dealt out by ranges, gives no more pairs than it has rows, and most links of a family of near copies
-show up. Then every pair of groups on a list that can still hold a link between different components is filtered by size and
+Groups are joined in two steps. First, along each list (and inside each group), ordered by size and then by a hash of its own,
+only neighbours are verified: a list of any length is dealt out by ranges, gives no more pairs than it has rows, and most links
+of a family of near copies show up. Then every pair of groups on a list that can still hold a link between different components is filtered by size and
 position, expanded to members and verified. Pairs within a component can't change the result and are left out.
 """
 
@@ -116,16 +116,15 @@ def _list_tokens(batches):
 
 
 def _neighbours(batches):
-    """(a, b) of rows next to each other with the same key, in the order of the stream; `x` is the node."""
+    """(a, b) of nodes next to each other under the same key and in different components; columns: key, node, component."""
     last = None
     for batch in batches:
-        key, x = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         a, b = [], []
-        for k, v in zip(key, x):
-            if last is not None and last[0] == k and last[1] != v:
+        for k, v, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if last is not None and last[0] == k and last[2] != c:
                 a.append(min(last[1], v))
                 b.append(max(last[1], v))
-            last = (k, v)
+            last = (k, v, c)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
@@ -155,6 +154,19 @@ def _links(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "ma", "mb").mapInArrow(_verifier(percent), "a binary, b binary")
 
 
+def _stars(comp: DataFrame) -> DataFrame:
+    return comp.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+
+
+def _open(nodes: DataFrame, lists: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes with their components, the least and greatest component of each group, and the lists on which components meet."""
+    placed = nodes.select("node", "grp", "n").join(comp, "node", "left").select("node", "grp", "n", F.coalesce("comp", "node").alias("comp"))
+    spread = materialize(placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "spread")
+    both = lists.join(spread, "grp")
+    mixed = both.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
+    return placed, spread, materialize(both.join(mixed, "token", "left_semi"), "open-lists")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs: the components of the graph of links.
 
@@ -172,16 +184,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = materialize(groups.select("grp", "n", "tokens").mapInArrow(_list_tokens, "token long, before long, at long, grp binary, n long"), "lists")
     heads = groups.select("grp", "head")
     # first: neighbours along the lists, and along the groups of several nodes
-    along = lists.join(heads, "grp").repartitionByRange(parts, "token", "n", "head").sortWithinPartitions("token", "n", "head").select("token", "head").mapInArrow(_neighbours, "a binary, b binary")
-    inside = nodes.select("grp", "node").repartitionByRange(parts, "grp", "node").sortWithinPartitions("grp", "node").mapInArrow(_neighbours, "a binary, b binary")
+    along = lists.join(heads, "grp").repartitionByRange(parts, "token", "n", "head").sortWithinPartitions("token", "n", "head").select("token", "head", F.col("head").alias("comp")).mapInArrow(_neighbours, "a binary, b binary")
+    inside = nodes.select("grp", "node").repartitionByRange(parts, "grp", "node").sortWithinPartitions("grp", "node").select("grp", "node", F.col("node").alias("comp")).mapInArrow(_neighbours, "a binary, b binary")
     found = materialize(_links(along.unionByName(inside).distinct(), nodes, percent), "links")
     comp = materialize(components(found), "components")
+    # again, in an order of its own for each list, where components still meet: what these links join needs no pairs below
+    _, _, open_lists = _open(nodes, lists, comp)
+    mixed = open_lists.join(heads, "grp").withColumn("place", F.xxhash64("token", "head"))
+    mixed = mixed.repartitionByRange(parts, "token", "place").sortWithinPartitions("token", "place", "head").select("token", "head", F.col("lo").alias("comp"))
+    found = materialize(_links(mixed.mapInArrow(_neighbours, "a binary, b binary").distinct(), nodes, percent), "links")
+    comp = materialize(components(_stars(comp).unionByName(found)), "components")
     # then: what can still link different components
-    placed = nodes.select("node", "grp", "n").join(comp, "node", "left").select("node", "grp", "n", F.coalesce("comp", "node").alias("comp"))
-    spread = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_lists = lists.join(spread, "grp")
-    mixed = open_lists.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
-    open_lists = materialize(open_lists.join(mixed, "token", "left_semi"), "open-lists")
+    placed, spread, open_lists = _open(nodes, lists, comp)
     left = open_lists.select("token", "before", "at", F.col("grp").alias("ga"), F.col("n").alias("na"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
     right = open_lists.select(F.col("token").alias("t"), F.col("before").alias("before_b"), F.col("at").alias("at_b"), F.col("grp").alias("gb"), F.col("n").alias("nb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
@@ -196,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     expanded = pairs.unionByName(within).join(member.withColumnsRenamed({"grp": "ga", "node": "x", "comp": "cx"}), "ga").join(member.withColumnsRenamed({"grp": "gb", "node": "y", "comp": "cy"}), "gb").where("cx <> cy and (ga <> gb or x < y)")
     rest = materialize(expanded.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     more = materialize(_links(rest, nodes, percent), "links")
-    comp = components(comp.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    comp = components(_stars(comp).unionByName(more))
     # a class is a component of nodes; nodes without links are classes of their own
     classed = info.where("n > 0").join(comp, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("class"))
     classed = materialize(classed, "classes")
