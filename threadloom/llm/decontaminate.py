@@ -15,6 +15,7 @@ searched in blocks of items.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +27,7 @@ from threadloom.llm.common import table, text_groups
 
 TILE = 24
 RANK = 256
-COSINE = 0.5
+COSINE = 0.4
 COVER = 0.6
 ANSWER = 0.5
 STRETCH = 2.0
@@ -51,7 +52,7 @@ class Items:
         self.words = [words_of(t) for _, t in rows]
         self.terms = {w: k for k, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
         self.coded = [np.array([self.terms[w] for w in ws], np.int32) for ws in self.words]
-        self.times = [np.unique(c, return_counts=True) for c in self.coded]
+        self.times = [list(Counter(c.tolist()).items()) for c in self.coded]
         last = [[s for s in re.split(r"(?<=[.!?…])\s+|\n+", t.strip()) if len(words_of(s)) > 1] or [t] for _, t in rows]
         self.tails = [np.array([self.terms[w] for w in words_of(s[-1])], np.int32) for s in last]
 
@@ -315,8 +316,10 @@ def _confirm(items: Items, weight: np.ndarray, words: np.ndarray, cand: tuple, c
         a, b = max(0, tile * TILE - margin), min(len(words), (tile + 2) * TILE + margin)
         part = words[a:b]
         # a subsequence can't be longer than what the two have in common, nor need its place be known if it is too short
-        common = np.minimum(items.times[cand[3]][1], np.bincount(part[part >= 0], minlength=len(weight))[items.times[cand[3]][0]]).sum()
-        if common < cover * len(item) or lcs_length(item.tolist(), part.tolist()) < cover * len(item):
+        listed = part.tolist()
+        seen = set(listed)
+        common = sum(n for t, n in items.times[cand[3]] if t in seen)
+        if common < cover * len(item) or lcs_length(item.tolist(), listed) < cover * len(item):
             continue
         n, begin, end = lcs_span(item, part)
         if n >= cover * len(item) and end - begin <= STRETCH * len(item) and (best is None or n > best[0]):
