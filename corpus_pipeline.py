@@ -32,8 +32,8 @@ def lines(spark, docs, sf_dir):
 
 
 def near_copies(spark, docs, sf_dir):
-    """One document of each group of near copies, that with the least id; of rows that repeat an id, all stay if one does."""
-    classes = near_duplicates(docs)
+    """One document of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more), that with the least id; of rows that repeat an id, all stay if one does."""
+    classes = near_duplicates(docs, k=5, percent=80)
     first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
 
