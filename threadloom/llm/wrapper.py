@@ -2,8 +2,14 @@
 
 Pages of a host share a template. A wrapper is induced for each host: the DOM trees of a few of its pages are aligned by simple
 tree matching (Yang, 1991: the largest order-keeping match of two trees, by dynamic programming over children), nodes that say the
-same in all of them become template, those that vary become slots, and runs of like siblings one repeated node. Each page is then
-aligned with its host's wrapper: what matches a template text is template, the rest is content of slots.
+same in all of them become template, those that vary become slots, and runs of like siblings one repeated node. A host of
+several layouts gets a wrapper for each that its reference pages show.
+
+The reference pages only give the trees to align with. What is template is decided by counts over all pages: each page of the host
+is aligned with its layout's wrapper, and for each place (the node around a block) and text the distinct pages that show it are
+counted. A text that at least SUPPORT + 1 pages show, and more than SHARE of the pages that have the place (by one standard
+deviation, as passages repeat in a seventh of some hosts' articles), is template, whether
+the reference pages hold it or not; so one place may have several template texts, or be there on some pages only.
 
 The content slot is the page's article (or the part that holds most of its varying text), without parts that tags, roles or class
 names mark as menus, headers, footers, sidebars, notices, adverts, forms or comments.
@@ -19,6 +25,7 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +33,9 @@ from threadloom.llm.common import materialize, table
 
 REFERENCES = 5
 SUPPORT = 3
+#: Of the pages that have a place, the share that has to show a text there; and how alike the outlines of pages of one layout are.
+SHARE = 0.2
+ALIKE = 0.6
 BROADCAST_BYTES = 16 << 20
 MAX_DEPTH = 150
 
@@ -236,6 +246,89 @@ def induce(pages: list[str]) -> list | None:
     return _folded(base)
 
 
+def outline(w: list, above: str = "") -> set:
+    """The kinds of elements below a wrapper node, each with that of its parent."""
+    own = f"{w[0]} {w[1]}"
+    return {(above, own)}.union(*(outline(c, own) for c in w[4] if c[0] != "#text"))
+
+
+def layouts(pages: list[str]) -> list | None:
+    """A wrapper for each layout that these pages of a host show; None of fewer than two different ones."""
+    distinct = list(dict.fromkeys(pages))
+    if len(distinct) < 2:
+        return None
+    kinds: list[tuple[set, list[str]]] = []
+    for p in distinct:
+        own = outline(as_wrapper(parse(p)))
+        near = max(kinds, key=lambda k: _alike(k[0], own), default=None)
+        if near is not None and _alike(near[0], own) >= ALIKE:
+            near[1].append(p)
+        else:
+            kinds.append((own, [p]))
+    return [induce(group) or as_wrapper(parse(group[0])) for _, group in kinds]
+
+
+def _alike(a: set, b: set) -> float:
+    return len(a & b) / len(a | b)
+
+
+class Wrappers:
+    """A host's wrappers with what aligning pages with them needs."""
+
+    def __init__(self, wrappers: list):
+        self.wrappers = wrappers
+        self.outlines = [outline(w) for w in wrappers]
+        self.names: dict[int, str] = {}
+        for k, w in enumerate(wrappers):
+            todo, n = [w], 0
+            while todo:
+                q = todo.pop()
+                self.names[id(q)] = f"{k}.{n}"
+                n += 1
+                todo += q[4]
+
+    def keys(self, root: Node) -> list[tuple[Node, int, int]]:
+        """(text node, place, place with text) of each text of a page; the latter two as 64-bit hashes, never 0.
+
+        The place is the wrapper node that is aligned with the element around the text's block (or with the nearest element
+        above, and the tags from there), so that blocks of one container share it in any order.
+        """
+        out: list[tuple[list, Node]] = []
+
+        def convert(node):
+            kids = [convert(c) for c in node.children if c.tag not in ("#space", "br", "wbr")]
+            w = [node.tag, "" if node.tag == "#text" else node.name, says(node) if node.tag == "#text" else None, False, kids]
+            if node.tag == "#text":
+                out.append((w, node))
+            return w
+
+        tree = convert(root)
+        at = 0
+        if len(self.wrappers) > 1:
+            own = outline(tree)
+            at = max(range(len(self.wrappers)), key=lambda k: (_alike(self.outlines[k], own), -k))
+        with_ = {id(p): self.names[id(q)] for p, q in align(tree, self.wrappers[at])}
+        node_of = {id(w): node for w, node in out}
+        got = []
+
+        def walk(w, place, around, inner):
+            # place: of w itself; around: of the element around w's block; inner: tags from there
+            if w[0] == "#text":
+                a = xxhash.xxh3_64_intdigest(around) >> 1 or 1
+                got.append((node_of[id(w)], a, xxhash.xxh3_64_intdigest(f"{around}\n{inner}\n{w[2]}".encode("utf-8", "surrogatepass")) >> 1 or 1))
+                return
+            for c in w[4]:
+                own = place if c[0] == "#text" else with_.get(id(c)) or f"{place}/{c[0]}"
+                if c[0] in BLOCK:
+                    walk(c, own, place, c[0])
+                else:
+                    walk(c, own, around, inner if c[0] == "#text" else f"{inner} {c[0]}")
+
+        top = with_[id(tree)]
+        walk(tree, top, top, "")
+        return got
+
+
 def mark_template(root: Node, wrapper: list | None) -> None:
     """Set `template` on the page's text nodes that match a template text of the wrapper."""
     if wrapper is None:
@@ -334,6 +427,16 @@ def blocks(slot: Node) -> list[str]:
     return content if 2 * sum(map(len, content)) >= sum(len(t) for t, _ in out) else [t for t, _ in out]
 
 
+def page_text(html: str | None, wrappers: Wrappers | None, template: frozenset) -> str:
+    """The main text of a page of a host with these wrappers, whose template texts have these keys."""
+    if not html or wrappers is None:
+        return main_text(html)
+    root = parse(html)
+    for node, _, key in wrappers.keys(root):
+        node.template = key in template
+    return "\n\n".join(blocks(content_slot(root)))
+
+
 def main_text(html: str | None, wrapper: list | None = None) -> str:
     if not html:
         return ""
@@ -348,45 +451,85 @@ def host_of(url):
 
 
 def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", references: int = REFERENCES) -> DataFrame:
-    """(host, wrapper as JSON) of each host with at least two different reference pages; `references` pages are chosen by hash, one of each of as many shares of the host's pages."""
+    """(host, wrappers of its layouts as JSON) of each host with at least two different reference pages; `references` pages are chosen by hash, one of each of as many shares of the host's pages."""
     mark = F.xxhash64(html_col)
     chosen = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) > 0)).select(host_of(F.col(url_col)).alias("host"), F.pmod(mark, F.lit(references)).alias("share"), mark.alias("mark"), F.col(html_col).alias("html")).where("host <> ''").groupBy("host", "share").agg(F.min_by("html", "mark").alias("html"))
 
     def run(key, rows):
         ordered = [h for _, h in sorted(zip(rows.column("share").to_pylist(), rows.column("html").to_pylist()))]
-        w = induce(ordered)
+        w = layouts(ordered)
         return pa.table({"host": pa.array([key[0].as_py()] if w else [], pa.string()), "wrapper": pa.array([json.dumps(w, ensure_ascii=False, separators=(",", ":"))] if w else [], pa.string())})
 
     return materialize(chosen.groupBy("host").applyInArrow(run, "host string, wrapper string"), "wrappers")
 
 
+def _with_wrappers(rows: DataFrame, wrappers: DataFrame, how: str) -> DataFrame:
+    """Rows with the columns of their host's wrapper, broadcast if all of them together are small."""
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + 8 * F.size("template"))).first()[0] or 0
+    side = wrappers.select(F.col("host").alias("__host"), "wrapper", "template")
+    return rows.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, F.col("__of") == F.col("__host"), how)
+
+
+class _Known:
+    """Wrappers and template keys of hosts as a task meets them."""
+
+    def __init__(self):
+        self.held: dict = {}
+
+    def get(self, host, wrapper, template):
+        if not wrapper.is_valid:
+            return None, frozenset()
+        if host not in self.held:
+            if len(self.held) > 2000:
+                self.held.clear()
+            self.held[host] = Wrappers(json.loads(wrapper.as_py())), frozenset(template.as_py())
+        return self.held[host]
+
+
+def template_keys(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(host, wrapper, template): the wrappers with the keys of the host's template texts, by counts over all distinct pages (rows of html, __of)."""
+
+    def run(batches):
+        known = _Known()
+        for batch in batches:
+            hosts, out = batch.column(1).to_pylist(), []
+            for i, h in enumerate(hosts):
+                w, _ = known.get(h, batch.column(3)[i], batch.column(4)[i])
+                mark, of = batch.column(2)[i].as_py(), batch.column(5)[i].as_py()
+                shown = {(a, k) for _, a, k in w.keys(parse(batch.column(0)[i].as_py()))}
+                out += [(of, mark, a, k) for a, k in shown | {(a, 0) for a, _ in shown}]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["of", "page", "place", "key"])
+
+    given = _with_wrappers(rows.where(F.length("html") > 0), wrappers.withColumn("template", F.array().cast("array<long>")), "inner")
+    shown = given.select("html", "__of", F.xxhash64("html"), "wrapper", "template", F.xxhash64("__of")).mapInArrow(run, "of long, page long, place long, key long")
+    counts = materialize(shown.groupBy("of", "place", "key").agg(F.count_distinct("page").alias("n")).where(f"key = 0 or n > {SUPPORT}"), "page-counts")
+    have = counts.where("key = 0").select("of", "place", F.col("n").alias("whole"))
+    chosen = counts.where("key <> 0").join(have, ["of", "place"]).where(F.col("n") >= SHARE * F.col("whole") + F.sqrt(SHARE * (1 - SHARE) * F.col("whole")))
+    of_host = chosen.groupBy("of").agg(F.collect_list("key").alias("keys"))
+    out = wrappers.join(of_host, F.xxhash64("host") == F.col("of"), "left")
+    return materialize(out.select("host", "wrapper", F.coalesce("keys", F.array().cast("array<long>")).alias("template")), "templates")
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", references: int = REFERENCES) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages.
 
     Null or empty html, and html without text, give an empty text. Pages without a host, or of a host with a single distinct
-    page, are extracted without a wrapper. Repeated rows give repeated rows. An empty table gives an empty result.
+    page, are extracted without a wrapper; a host of up to SUPPORT distinct pages has no template texts. Repeated rows give
+    repeated rows. An empty table gives an empty result.
     """
-    wrappers = induce_wrappers(pages, url_col, html_col, references)
-    size = wrappers.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
-    wrappers = wrappers.select(F.col("host").alias("__host"), "wrapper")
-    side = F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("__of")).join(side, F.col("__of") == F.col("__host"), "left")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("__of"))
+    templates = template_keys(rows, induce_wrappers(pages, url_col, html_col, references))
 
     def run(batches):
-        known: dict[str | None, list | None] = {None: None}
+        known = _Known()
         for batch in batches:
-            hosts, wraps = batch.column(3).to_pylist(), batch.column(4)
-            text = []
-            for i, h in enumerate(hosts):
-                if h not in known:
-                    if len(known) > 2000:
-                        known = {None: None}
-                    known[h] = json.loads(wraps[i].as_py()) if wraps[i].is_valid else None
-                text.append(main_text(batch.column(2)[i].as_py(), known[h]))
+            hosts = batch.column(3).to_pylist()
+            text = [page_text(batch.column(2)[i].as_py(), *known.get(h, batch.column(4)[i], batch.column(5)[i])) for i, h in enumerate(hosts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "__of", "wrapper").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    given = _with_wrappers(rows, templates, "left").select("page_id", "url", "html", "__of", "wrapper", "template")
+    return given.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op1_html_extraction(spark, sf_dir):
