@@ -30,3 +30,10 @@ def test_notices_that_take_turns_and_second_layout(spark):
 def test_passage_that_few_pages_repeat_stays(spark):
     pages = [article(k, "<p>A quotation.</p>" if k % 8 == 0 else "") for k in range(80)]
     assert all("A quotation." in t for k, t in extracted(spark, pages).items() if k % 8 == 0)
+
+
+def test_small_hosts_have_no_template(spark):
+    for n in (2, 3):
+        pages = [article(k, "<p>A shared passage.</p>") for k in range(n)]
+        assert all("A shared passage." in t for t in extracted(spark, pages).values())
+        assert "A shared passage." in main_text(pages[0], induce(pages))

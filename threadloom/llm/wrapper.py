@@ -225,7 +225,7 @@ def _varies(w: list) -> bool:
 
 
 def induce(pages: list[str]) -> list | None:
-    """The wrapper of pages of a host; None of fewer than two different ones, which show nothing of what varies."""
+    """The wrapper of pages of a host; None of fewer than two different ones, which show nothing of what varies. No text of fewer than SUPPORT alignments is template."""
     trees = [as_wrapper(parse(p)) for p in dict.fromkeys(pages)]
     if len(trees) < 2:
         return None
@@ -237,7 +237,7 @@ def induce(pages: list[str]) -> list | None:
                 same[id(q)] = same.get(id(q), 0) + (p[2] == q[2])
 
     def settle(w):
-        if w[0] == "#text" and (seen.get(id(w), 0) < min(SUPPORT, len(trees) - 1) or same[id(w)] < seen[id(w)]):
+        if w[0] == "#text" and (seen.get(id(w), 0) < SUPPORT or same[id(w)] < seen[id(w)]):
             w[2] = None
         for c in w[4]:
             settle(c)
