@@ -5,8 +5,8 @@ over all passages of the corpus. A randomised SVD of the passages, distributed a
 Tropp, 2011; the one-pass form for A'A), gives the latent space; the items' vectors take part in it with the corpus's weight, so
 that the space holds their directions. Windows of two neighbouring tiles, at steps of one, are candidates of an item if their latent
 cosine reaches `cosine`. A candidate is confirmed in the document's words: the longest common subsequence of item and window
-with its surroundings has to cover enough of the item, within a span that isn't much longer, and enough of the item's answer (the rare words
-of its last sentence) has to be there. Changed, dropped or inserted words therefore don't hide a passage.
+with its surroundings has to cover enough of the item, within a span that isn't much longer, and if it covers less than NEAR of
+it, enough of the item's answer (the rare words of its last sentence of three or more words) has to be there. Changed, dropped or inserted words therefore don't hide a passage.
 
 Only what depends on the benchmark is broadcast: its terms, vectors and words, whose size is checked; a larger benchmark is
 searched in blocks of items.
@@ -30,6 +30,8 @@ RANK = 256
 COSINE = 0.4
 COVER = 0.6
 ANSWER = 0.5
+#: Matches that cover this much of an item are copies, whatever became of the answer.
+NEAR = 0.8
 STRETCH = 2.0
 COMMON = 0.001
 RARE = 8
@@ -53,7 +55,7 @@ class Items:
         self.terms = {w: k for k, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
         self.coded = [np.array([self.terms[w] for w in ws], np.int32) for ws in self.words]
         self.times = [list(Counter(c.tolist()).items()) for c in self.coded]
-        last = [[s for s in re.split(r"(?<=[.!?…])\s+|\n+", t.strip()) if len(words_of(s)) > 1] or [t] for _, t in rows]
+        last = [[s for s in re.split(r"(?<=[.!?…])\s+|\n+", t.strip()) if len(words_of(s)) > 2] or [t] for _, t in rows]
         self.tails = [np.array([self.terms[w] for w in words_of(s[-1])], np.int32) for s in last]
 
 
@@ -323,6 +325,9 @@ def _confirm(items: Items, weight: np.ndarray, words: np.ndarray, cand: tuple, c
             continue
         n, begin, end = lcs_span(item, part)
         if n >= cover * len(item) and end - begin <= STRETCH * len(item) and (best is None or n > best[0]):
+            if n >= NEAR * len(item):
+                best = (n, a + begin, a + end)
+                continue
             there = set(words[a + begin : a + end + len(item) // 4].tolist())
             tail = np.unique(items.tails[cand[3]])
             value = weight[tail] + 1e-9
