@@ -28,6 +28,8 @@ TOP = 20
 PIVOTS = 48
 BLOCK = 4096
 QUERY_BLOCK = 1024
+#: Relative slack of bounds in floating point.
+SLACK = 1e-12
 
 
 def quantized(vector, scale: int = SCALE):
@@ -44,7 +46,8 @@ def _matrix(col, dim: int) -> np.ndarray:
 def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = (x.astype(np.float64) ** 2).sum(1)[:, None] - 2.0 * x.astype(np.float64) @ pivots.T.astype(np.float64) + (pivots.astype(np.float64) ** 2).sum(1)
     cell = d.argmin(1)
-    return cell, np.sqrt(np.maximum(d[np.arange(len(x)), cell], 0)) + 1e-3
+    # from the differences, as those of squares lose all digits for large components
+    return cell, np.sqrt(((x.astype(np.float64) - pivots[cell]) ** 2).sum(1)) * (1 + SLACK) + 1e-3
 
 
 def _assigned(x: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
@@ -54,7 +57,8 @@ def _assigned(x: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
         for batch in batches:
             vectors = _matrix(batch.column(1), dim)
             cell, dist = _nearest(vectors, pivots)
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(batch), [None, pa.py_buffer(vectors.astype("<i4").tobytes())])
+            kind = "<i4" if not len(vectors) or (vectors.min() >= -(1 << 31) and vectors.max() < 1 << 31) else "<i8"
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(int(kind[2]) * dim), len(batch), [None, pa.py_buffer(vectors.astype(kind).tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), pa.array(dist), raw.cast(pa.binary())], ["cell", "id", "dist", "v"])
 
     return x.mapInArrow(run, "cell long, id long, dist double, v binary")
@@ -68,6 +72,8 @@ def _blocks(x: DataFrame, pivots: np.ndarray, dim: int, size: int) -> DataFrame:
 
         def out():
             ids, dist, v = (sum(c, []) for c in zip(*held))
+            if len({len(b) for b in v}) > 1:
+                v = [b if len(b) == 8 * dim else np.frombuffer(b, "<i4").astype("<i8").tobytes() for b in v]
             return pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([k]), pa.array([len(ids)]), pa.array([max(dist)]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(v)], pa.binary())], ["cell", "block", "n", "radius", "ids", "vectors"])
 
         for batch in batches:
@@ -94,7 +100,20 @@ BLOCKS = "cell long, block long, n long, radius double, ids binary, vectors bina
 
 
 def _load(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i4").reshape(-1, dim).astype(np.float64)
+    """Ids and vectors of a block; vectors are 32-bit integers, or 64-bit ones in blocks that hold larger components."""
+    n = len(ids) // 8
+    return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8" if n and len(vectors) == 8 * dim * n else "<i4").reshape(-1, dim)
+
+
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All inner products, in floating point where that is exact, else in 64-bit integers; an error where these could overflow."""
+    qf, xf = q.astype(np.float64), x.astype(np.float64)
+    most = float(np.sqrt((qf**2).sum(1).max(initial=0)) * np.sqrt((xf**2).sum(1).max(initial=0)))
+    if most < 2**52 / max(1, q.shape[1]):
+        return qf @ xf.T
+    if most >= 2**63:
+        raise OverflowError("inner products of these vectors can exceed 64 bits")
+    return q.astype(np.int64) @ x.astype(np.int64).T
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int, least: float) -> np.ndarray:
@@ -143,7 +162,7 @@ def top_k(queries: DataFrame, data: DataFrame, id_col: str = "vec_id", vec_col:
                     qi, qv = _load(row[0], row[1], dim)
                     xi, xv = _load(row[2], row[3], dim)
                     least = np.frombuffer(row[4], "<f8") if with_bound else np.full(len(qi), -np.inf)
-                    scores = qv @ xv.T
+                    scores = _scores(qv, xv)
                     found = [_best(scores[j], xi, qi[j], k, least[j]) for j in range(len(qi))]
                     n = [len(f) for f in found]
                     at = np.concatenate(found) if found else np.empty(0, np.int64)
@@ -174,15 +193,17 @@ def top_k(queries: DataFrame, data: DataFrame, id_col: str = "vec_id", vec_col:
     def route(batches):
         for batch in batches:
             for g, cell, ids, vectors, least in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                _, qv = _load(ids, vectors, dim)
+                qv = _load(ids, vectors, dim)[1].astype(np.float64)
                 norm = np.sqrt((qv**2).sum(1))[:, None]
                 near = qv @ middle.T
-                low, high = near - norm * radius - 1e-3, near + norm * radius + 1e-3
+                slack = 1e-3 + SLACK * norm * (radius + np.sqrt((middle**2).sum(1)))
+                low, high = near - norm * radius - slack, near + norm * radius + slack
                 order = np.argsort(-low, axis=1)
                 # k others besides the query itself lie in the cells of the highest lower bounds
                 reach = np.cumsum(held[order], axis=1) >= k + 1
                 sure = np.where(reach.any(1), low[np.arange(len(qv)), order[np.arange(len(qv)), reach.argmax(1)]], -np.inf)
                 bound = np.maximum(sure, np.array([-np.inf if v is None else v for v in least], np.float64))
+                bound = np.where(np.isfinite(bound), bound - SLACK * np.abs(bound), bound)
                 need = cell_ids[(high >= bound[:, None]).any(0) & (cell_ids != cell)]
                 raw = bound.astype("<f8").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(need, pa.int64()), pa.array([ids] * len(need), pa.binary()), pa.array([vectors] * len(need), pa.binary()), pa.array([raw] * len(need), pa.binary())], ["cell", "qi", "qv", "least"])
