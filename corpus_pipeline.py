@@ -41,7 +41,7 @@ def near_copies(spark, docs, sf_dir):
 def decontamination(spark, docs, sf_dir):
     """Documents in which no benchmark item is found."""
     leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("__id"), "left_anti").select(*COLUMNS)
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*COLUMNS)
 
 
 def packing(spark, docs, sf_dir):
