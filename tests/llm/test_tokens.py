@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,16 +13,33 @@ from threadloom.llm.wordcodec import WordCodec, tokenizer_path
 
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 CODECS = {n: (WordCodec(tokenizer_path(n), max_entries=300), WordCodec(tokenizer_path(n), "count")) for n in NAMES}
-PARTS = st.lists(st.sampled_from([*"abZ019'.,!?-_|% \n\t é²½ª\xa0\x85\xadİŉſ́ΣςΑ日\x1c\x00’", "'s", "'ll", "<|endoftext|>", "<|", "\r\n", "  ", "hello"]), max_size=40)
+PARTS = st.lists(st.sampled_from([*"abZ019'.,!?-_|% \n\t é²½ª×÷£\xad\xa0\x85\x0b\x0c\u2003\u3000\u1680İŉſ́ΣςΑ日\x1c\x00’", "'s", "'ll", "<|endoftext|>", "<|", "\r\n", "  ", "\n\n", "hello", "x" * 70]), max_size=40)
 
 
 @given(st.lists(PARTS.map("".join), min_size=1, max_size=5))
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=400, deadline=None)
 def test_codec_is_the_library(texts):
     for ids, counts in CODECS.values():
         want = [ids.tok.encode(t, add_special_tokens=False).ids for t in texts]
-        assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts)] == want
-        assert counts.encode(texts) == [len(w) for w in want]
+        assert [x.tolist() for x in ids.encode_texts(texts)] == want
+        assert counts.encode_texts(texts) == [len(w) for w in want]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_groups_of_a_batch(name):
+    """Groups of any size, long texts in pieces, nulls, slices of a batch."""
+    r = random.Random(3)
+    words = ["word", "Wörter", "don't", "x1y2", "  ", "\n", "\n\n", "\xa0", "end.", "日本", "<|endoftext|>", "a" * 100]
+    texts = [None, "", *(" ".join(r.choice(words[: 7 if k % 3 else 12]) for _ in range(r.choice([1, 5, 900]))) for k in range(60)), ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]).slice(1)
+    own = WordCodec(tokenizer_path(name), max_entries=60)
+    want = [own.tok.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+    for limit in (1, 50, 3000, 1 << 20):
+        got = []
+        for first, n, ids in own.groups(batch, limit=limit):
+            assert first == len(got)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == want
 
 
 def reference(name, texts):

@@ -52,6 +52,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def in_id_order(docs: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
+    """(doc_id, text) of docs in ascending id order over `partitions` ranges, nulls first, equal ids by text.
+
+    Ranges are of the id and the text's first 32 characters, so rows that share an id, or have none, are spread too; the bounds,
+    which the driver samples, stay short.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.repartitionByRange(partitions, "doc_id", F.left("text", F.lit(32))).sortWithinPartitions("doc_id", "text")
+
+
 def fold(doc_id, mod: int = 5):
     """crc32 of the id as text, modulo mod; a null id is in fold 0, as the empty text would be."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod)).cast("int")

@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from threadloom.llm.common import shuffle_partitions, table, text_groups
+from threadloom.llm.common import in_id_order, shuffle_partitions, table
 from threadloom.llm.wordcodec import codec, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -53,31 +52,43 @@ def candidates(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, full
     return at, penalty
 
 
-def best_cuts(at: list[int], penalty: list[float], full: int = FULL) -> tuple[list[float], list[int]]:
+def best_cuts(at: np.ndarray, penalty: np.ndarray, full: int = FULL) -> tuple[list[float], list[int]]:
     """Least cost of each cut and the cut before it."""
-    powers = [1 << k for k in range(full.bit_length() - 1) if 1 << k < full]
-    place = {a: k for k, a in enumerate(at)}
-    cost, back = [0.0] * len(at), [0] * len(at)
-    queue: deque[tuple[float, int]] = deque([(float(at[0]), 0)])
-    find = place.get
-    for j in range(1, len(at)):
-        c = at[j]
+    at = np.asarray(at, np.int64)
+    # the cuts that lie a power of two before each cut: (cut, earlier cut), in the order of cuts
+    pairs = [np.empty((0, 2), np.int64)]
+    for k in range(full.bit_length()):
+        if 1 << k < full:
+            there = np.searchsorted(at, at - (1 << k))
+            hit = np.flatnonzero(at[np.minimum(there, len(at) - 1)] == at - (1 << k))
+            pairs.append(np.stack([hit, there[hit]], 1))
+    every = np.concatenate(pairs)
+    every = every[np.argsort(every[:, 0], kind="stable")]
+    upto = np.searchsorted(every[:, 0], np.arange(len(at)), "right").tolist()
+    earlier, place, add = every[:, 1].tolist(), at.tolist(), (np.asarray(penalty, float) + PER_WINDOW).tolist()
+    cost, back = [0.0] * len(place), [0] * len(place)
+    queue: deque[tuple[float, int, int]] = deque([(float(place[0]), 0, place[0])])
+    pop, push, drop = queue.pop, queue.append, queue.popleft
+    done = upto[0]
+    for j in range(1, len(place)):
+        c = place[j]
         low = c - full
-        while at[queue[0][1]] < low:
-            queue.popleft()
-        head, i = queue[0]
-        # a full window is a power of two as well: head's padding is nothing then
-        best = head + full - c
-        for p in powers:
-            k = find(c - p)
-            if k is not None and cost[k] < best:
+        while queue[0][2] < low:
+            drop()
+        best, i, _ = queue[0]
+        # a full window is a power of two as well: the head's padding is nothing then
+        best += full - c
+        while done < upto[j]:
+            k = earlier[done]
+            if cost[k] < best:
                 best, i = cost[k], k
-        best += penalty[j] + PER_WINDOW
+            done += 1
+        best += add[j]
         cost[j], back[j] = best, i
         g = best + c
         while queue and queue[-1][0] >= g:
-            queue.pop()
-        queue.append((g, j))
+            pop()
+        push((g, j, c))
     return cost, back
 
 
@@ -105,8 +116,8 @@ class Packer:
         ids = np.concatenate([d[3] for d in self.docs])
         ends = np.cumsum([len(d[3]) for d in self.docs])
         at, penalty = candidates(len(ids), ends, np.flatnonzero(self.ends[ids]) + 1, self.full)
-        at, penalty = at.tolist(), penalty.tolist()
         cost, back = best_cuts(at, penalty, self.full)
+        at, penalty = at.tolist(), penalty.tolist()
         j = len(at) - 1
         if not last:
             tail = range(int(np.searchsorted(at, len(ids) - self.full)), len(at))
@@ -167,20 +178,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """Pieces of every document's ids (its text's, then end_id), dealt to sequences.
 
     Each id lies in one piece. A null or empty text has the one id end_id. Documents with null or equal ids are packed each for
-    itself, nulls first and equal ids by text. Other columns aren't read. An empty table gives no pieces.
+    itself, nulls first and equal ids by text, and may be dealt to several tasks. Other columns aren't read, whatever
+    they are called. An empty table gives no pieces.
     """
     path = tokenizer or tokenizer_path(TOKENIZER)
     n = partitions or shuffle_partitions(docs.sparkSession)
 
     def run(batches):
         own = codec(path)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.uint32(end_id)
         packer, rows = Packer(TaskContext.get().partitionId() << 40, sentence_enders(own.tok), full), []
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, texts in text_groups(batch):
-                for k, raw in enumerate(own.encode(texts)):
-                    rows += packer.add(ids[first + k], np.frombuffer(raw + end, "<u4"))
+            for first, counts, tokens in own.groups(batch):
+                b = 0
+                for k, n in enumerate(counts.tolist()):
+                    a, b = b, b + n
+                    rows += packer.add(ids[first + k], np.append(tokens[a:b], end))
             if len(rows) >= 5000:
                 yield _batch(rows)
                 rows = []
@@ -188,8 +202,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         if rows:
             yield _batch(rows)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
+    return in_id_order(docs, id_col, text_col, n).mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

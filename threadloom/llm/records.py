@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import local_files, materialize, scratch, shuffle_partitions, table, text_groups
+from threadloom.llm.common import in_id_order, local_files, materialize, scratch, shuffle_partitions, table
 from threadloom.llm.wordcodec import codec, tokenizer_path
 
 #: Fixed value of the format.
@@ -100,8 +100,10 @@ def read_at(path: str, numbers: Sequence[int]) -> list[tuple[int | None, np.ndar
 def write_records(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
     """Encode every text, add end_id, and write data files and indexes to the folder `out` in ascending id order (nulls first, equal ids by text). Returns the files: part, path, n_docs, n_tokens.
 
-    Documents are dealt out by ranges of id, so file k's ids precede those of file k + 1. A task writes under a name of its own
-    and renames at the end, so that a repeated or lost task leaves whole files or none. An empty table gives no files.
+    Documents are dealt out by ranges of id and text's beginning, so file k's ids precede those of file k + 1, and rows that
+    share an id, or have none, are spread too. A null or empty text is end_id alone. A task writes
+    under a name of its own and renames at the end, so that a repeated or lost task leaves whole files or none. Only id_col and
+    text_col are read, whatever other columns are called. An empty table gives no files.
     """
     path = tokenizer or tokenizer_path(TOKENIZER)
     n = partitions or shuffle_partitions(docs.sparkSession)
@@ -109,7 +111,7 @@ def write_records(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: s
     def write(batches):
         part, own, fs_out = TaskContext.get().partitionId(), codec(path), None
         width = 2 if own.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        end, at, total, entries = np.array([end_id], "<u4").tobytes(), 0, 0, []
+        end, at, total, entries = np.uint32(end_id), 0, 0, []
         fs, folder = local_files(out)
         name, temp = f"{folder}/part-{part:06d}.rec", f"{folder}/.{part:06d}-{uuid.uuid4().hex}"
         for batch in batches:
@@ -117,9 +119,11 @@ def write_records(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: s
             if fs_out is None:
                 fs.create_dir(folder, recursive=True)
                 fs_out = fs.open_output_stream(temp, buffer_size=1 << 20)
-            for first, texts in text_groups(batch):
-                for k, raw in enumerate(own.encode(texts)):
-                    doc_id, seq = ids[first + k], np.frombuffer(raw + end, "<u4")
+            for first, counts, tokens in own.groups(batch):
+                b = 0
+                for k, n in enumerate(counts.tolist()):
+                    a, b = b, b + n
+                    doc_id, seq = ids[first + k], np.append(tokens[a:b], end)
                     record = frame(payload(doc_id, seq, width))
                     fs_out.write(record)
                     entries.append((at, len(seq), doc_id is None, doc_id or 0))
@@ -135,9 +139,7 @@ def write_records(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: s
         fs.move(temp, name)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{out}/part-{part:06d}.rec"], "n_docs": [len(entries)], "n_tokens": [total]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(rows.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "record-files")
+    return materialize(in_id_order(docs, id_col, text_col, n).mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "record-files")
 
 
 def read_digests(files: DataFrame) -> DataFrame:

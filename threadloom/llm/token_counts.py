@@ -2,45 +2,80 @@
 
 Tier one is a compact table of the lengths (in tokens) of the corpus's frequent pre-tokens, at most `hot_size` of them and so of
 bounded size, which every worker gets by broadcast. Tier two is the worker's own bounded cache, filled by encoding what tier one
-misses. No pre-token is shuffled: to find the frequent ones each task sums up its own texts in a bounded summary of `hot_size`
-rows, and only summaries meet. The tables decide speed only; counts are the tokenizer's for any table.
+misses. No pre-token is a row of a shuffle: to find the frequent ones each task sums up its own texts in one binary summary of at
+most `hot_size` pre-tokens, and summaries meet in a tree of FAN_IN. The tables decide speed only; counts are the tokenizer's
+for any table.
 """
 
 from __future__ import annotations
 
+import pickle
 import uuid
+import zlib
 from array import array
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import table, text_groups
-from threadloom.llm.wordcodec import LONG, WordCodec, codec, tokenizer_path
+from threadloom.llm.common import table
+from threadloom.llm.wordcodec import LONG, WordCodec, codec, text_bytes, tokenizer_path
 
 HOT_SIZE = 32_768
+FAN_IN = 16
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+SUMMARY = "task long, summary binary"
 
 
-def frequent_pieces(docs: DataFrame, text: str, path: str, hot_size: int = HOT_SIZE) -> list[str]:
-    """The most frequent pre-tokens over all texts, by summaries of hot_size rows a task; at most hot_size strings of at most 64 characters reach the driver."""
+def _packed(counts: Counter, hot_size: int) -> bytes:
+    """The hot_size most frequent short pre-tokens with their counts, ties to the smaller."""
+    top = sorted(((n, k) for k, n in counts.items() if n > 1 and len(k) <= LONG), key=lambda x: (-x[0], x[1]))[:hot_size]
+    return zlib.compress(pickle.dumps([(k, n) for n, k in top]), 1)
+
+
+def _merged(summaries: list[bytes]) -> Counter:
+    total: Counter = Counter()
+    for raw in summaries:
+        for k, n in pickle.loads(zlib.decompress(raw)):
+            total[k] += n
+    return total
+
+
+def frequent_pieces(docs: DataFrame, text: str, path: str, hot_size: int = HOT_SIZE) -> list[bytes]:
+    """The most frequent pre-tokens over all texts, most frequent first: at most hot_size byte strings of at most LONG bytes reach the driver, in at most FAN_IN summaries.
+
+    A task keeps up to 12 hot_size candidates; what it cuts off when it has more, or a summary leaves out, only makes the table less than the best.
+    """
 
     def summary(batches):
         own, counts = codec(path, "count"), Counter()
         for batch in batches:
-            for _, texts in text_groups(batch):
-                for t in texts:
-                    counts.update(own.pieces(t) or ())
+            for _, data, ends in text_bytes(batch.column(0)):
+                plain = own.plain(data, ends)
+                units, _ = own.units(*plain)
+                n = np.bincount(np.asarray(units.indices), minlength=len(units.dictionary)).tolist()
+                for k, x in zip(units.dictionary.to_pylist(), n):
+                    counts[k] += x
                 if len(counts) > 12 * hot_size:
                     counts = Counter(dict(counts.most_common(4 * hot_size)))
-        top = [(k, n) for k, n in counts.most_common(hot_size) if n > 1 and len(k) <= LONG]
-        if top:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top]), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([_packed(counts, hot_size)], pa.binary())], ["task", "summary"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        return pa.table({"task": rows.column("task").slice(0, 1), "summary": pa.array([_packed(_merged(rows.column("summary").to_pylist()), hot_size)], pa.binary())})
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(summary, "piece string, n long")
-    return [r.piece for r in rows.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(hot_size).select("piece").collect()]
+    read = docs.select(F.col(text).alias("text"))
+    rows, parts = read.mapInArrow(summary, SUMMARY), read.rdd.getNumPartitions()
+    while parts > FAN_IN:
+        # a group is FAN_IN neighbouring tasks; the merged row takes the group's number
+        rows = rows.select((F.col("task") / FAN_IN).cast("long").alias("task"), "summary").groupBy("task").applyInArrow(merge, SUMMARY)
+        parts = -(-parts // FAN_IN)
+    top = _merged([r.summary for r in rows.collect()])
+    return [k for k, _ in sorted(top.items(), key=lambda x: (-x[1], x[0]))[:hot_size]]
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = TOKEN_LIMIT, hot_size: int = HOT_SIZE) -> DataFrame:
@@ -51,9 +86,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     path = tokenizer or tokenizer_path(TOKENIZER)
     hot = frequent_pieces(docs, text_col, path, hot_size)
-    own = WordCodec(path, "count", 4 * hot_size)
-    own._learn(hot)
-    lengths = [own.cache[k] for k in hot]
+    lengths = [len(ids) for ids in WordCodec(path, "count").learn(hot)]
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, hot, array("I", lengths)))
 
     def count(batches):
@@ -62,10 +95,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if mine.seeded != key:
             mine.seed(dict(zip(names, lengths)), key)
         for batch in batches:
-            n: list[int] = []
-            for _, texts in text_groups(batch):
-                n += mine.encode(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
+            n = [np.empty(0, np.int64), *(x for _, x, _ in mine.groups(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(n), pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
