@@ -6,24 +6,28 @@ Tropp, 2011; the one-pass form for A'A), gives the latent space; the items' vect
 that the space holds their directions. Windows of two neighbouring tiles, at steps of one, are candidates of an item if their latent
 cosine reaches `cosine`. A candidate is confirmed in the document's words: the longest common subsequence of item and window
 with its surroundings has to cover enough of the item, within a span that isn't much longer, and if it covers less than NEAR of
-it, enough of the item's answer (the rare words of its last sentence of three or more words) has to be there. Changed, dropped or inserted words therefore don't hide a passage.
+it, enough of the item's answer (the rare words of its last sentence of three or more words) has to be there. Changed, dropped or
+inserted words therefore don't hide a passage. All terms count, however common; the most common ones only take another way
+through the arithmetic (dense columns).
 
-Only what depends on the benchmark is broadcast: its terms, vectors and words, whose size is checked; a larger benchmark is
-searched in blocks of items.
+Only what depends on the benchmark is broadcast: its terms, vectors and words. Blocks of items are closed by their number and by
+their words, which bounds what is broadcast and what a task holds; a larger benchmark is searched block by block.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import table, text_groups
+from threadloom.llm.common import table
+from threadloom.llm.wordcodec import text_bytes
 
 TILE = 24
 RANK = 256
@@ -33,13 +37,20 @@ ANSWER = 0.5
 #: Matches that cover this much of an item are copies, whatever became of the answer.
 NEAR = 0.8
 STRETCH = 2.0
-COMMON = 0.001
-RARE = 8
 BLOCK_ITEMS = 2000
+BLOCK_WORDS = 30_000
+#: Terms in more than this share of passages are dense columns. It decides speed only.
+DENSE = 1 / 256
+#: Passages that are multiplied at once.
+ROWS = 4096
 SEED = 7
-SKETCH_TERMS = 256
+SKETCH_TERMS = 64
+#: How many tasks' sketches are summed up, level by level.
+TREE = (64, 4096, 1 << 40)
+SKETCH = "first long, task long, y binary"
 #: Bytes of words: A-Z lower-cased, ASCII marks taken for white space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+LETTERS = np.frombuffer(WORDS, np.uint8)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -59,20 +70,34 @@ class Items:
         self.tails = [np.array([self.terms[w] for w in words_of(s[-1])], np.int32) for s in last]
 
 
-def coded_words(terms: dict, texts: list[str]) -> list[np.ndarray]:
-    """Per text the term number of each word, -1 for words of no item."""
-    get = terms.get
-    return [np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws)) for ws in map(words_of, texts)]
-
-
-def tiles(coded: list[np.ndarray], n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tile, term, times) of all terms in tiles, by tile; and the first tile of each text. Texts have a tile between them that is empty."""
-    n = np.array([-(-len(c) // TILE) + 1 for c in coded], np.int64)
-    base = np.cumsum(n) - n
-    places = [np.flatnonzero(c >= 0) for c in coded]
-    key = np.concatenate([(p // TILE + b) * n_terms + c[p] for p, b, c in zip(places, base, coded)]) if coded else np.empty(0, np.int64)
-    key, times = np.unique(key, return_counts=True)
-    return key // n_terms, key % n_terms, times, base
+class Coded:
+    """Texts as numbers of their words: the item term, or -1 for words of no item."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray, terms: pa.Array):
+        letters = LETTERS[data]
+        inside = letters != 32
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        begins = ends[:-1][np.diff(ends, prepend=0)[1:] > 0]
+        first[begins] = inside[begins]
+        at = np.concatenate([[0], np.cumsum(inside)])[np.append(np.flatnonzero(first), len(data))].astype(np.int32)
+        array = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(letters[inside]))])
+        self.words = np.asarray(pc.index_in(array, value_set=terms).fill_null(-1))
+        self.ends = np.concatenate([[0], np.cumsum(first)])[ends]
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+        #: Each text has its tiles and then an empty one; `base` is its first.
+        self.n_tiles = -(-(self.ends - self.starts) // TILE) + 1
+        self.base = np.cumsum(self.n_tiles) - self.n_tiles
+
+    def of(self, k: int) -> np.ndarray:
+        return self.words[self.starts[k] : self.ends[k]]
+
+    def tiles(self, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tile, term, times) of all terms in tiles, by tile and term."""
+        at = np.flatnonzero(self.words >= 0)
+        text = np.searchsorted(self.ends, at, "right")
+        key, times = np.unique(((at - self.starts[text]) // TILE + self.base[text]) * n_terms + self.words[at], return_counts=True)
+        return key // n_terms, key % n_terms, times
 
 
 def lcs_length(item: list[int], words: list[int]) -> int:
@@ -112,21 +137,59 @@ def lcs_span(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best, int(begin[end]), end
 
 
+class Weights:
+    """Weights of terms, and products of weighted passages with matrices that have a row a term. `dense` are the terms that have columns."""
+
+    def __init__(self, idf: np.ndarray, dense: np.ndarray):
+        self.idf, self.dense = idf, np.flatnonzero(dense)
+        self.column = np.full(len(idf), -1)
+        self.column[self.dense] = np.arange(len(self.dense))
+
+    def of(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, n_rows: int, unit: bool):
+        """(columns of the dense terms, rows and terms of the others, their weights) of n_rows passages; rows in order. unit: each row of length 1."""
+        w = (1 + np.log(times)) * self.idf[term]
+        if unit:
+            w /= np.sqrt(np.bincount(row, w * w, n_rows))[row]
+        w = w.astype(np.float32)
+        column = self.column[term]
+        there = column >= 0
+        x = np.zeros((n_rows, len(self.dense)), np.float32)
+        x[row[there], column[there]] = w[there]
+        return x, row[~there], term[~there], w[~there, None]
+
+    def times(self, parts, matrix: np.ndarray) -> np.ndarray:
+        x, row, term, w = parts
+        out = x @ matrix[self.dense]
+        if len(row):
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            out[row[starts]] += np.add.reduceat(matrix[term] * w, starts)
+        return out
+
+    def add_back(self, parts, image: np.ndarray, total: np.ndarray) -> None:
+        """total += the passages, transposed, times their image."""
+        x, row, term, w = parts
+        total[self.dense] += x.T @ image
+        if len(row):
+            order = np.argsort(term, kind="stable")
+            starts = np.flatnonzero(np.diff(term[order], prepend=-1))
+            total[term[order][starts]] += np.add.reduceat(image[row[order]] * w[order], starts)
+
+
 class Space:
     """Weights of terms and the latent space."""
 
-    def __init__(self, idf: np.ndarray, basis: np.ndarray):
-        self.idf, self.basis = idf, basis
+    def __init__(self, weights: Weights, basis: np.ndarray):
+        self.weights, self.basis = weights, basis
+
+    def vectors(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, n_rows: int) -> np.ndarray:
+        return self.weights.times(self.weights.of(row, term, times, n_rows, False), self.basis)
 
-    def vectors(self, row: np.ndarray, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Latent vectors of the rows that have weighted terms, and which rows these are; rows in order."""
-        w = (1 + np.log(times)) * self.idf[term]
-        ok = w > 0
-        row, term, w = row[ok], term[ok], w[ok]
-        if not len(row):
-            return np.empty((0, self.basis.shape[1]), np.float32), row
-        starts = np.flatnonzero(np.diff(row, prepend=-1))
-        return np.add.reduceat(self.basis[term] * w[:, None].astype(np.float32), starts), row[starts]
+
+def _stretches(row: np.ndarray, n_rows: int):
+    """(first passage, how many, slice of the rows) of stretches of ROWS passages."""
+    for first in range(0, n_rows, ROWS):
+        n = min(ROWS, n_rows - first)
+        yield first, n, slice(*np.searchsorted(row, [first, first + n]))
 
 
 def _item_rows(items: Items):
@@ -138,77 +201,62 @@ def _item_rows(items: Items):
 def fit_space(docs: DataFrame, items: Items, rank: int = RANK) -> Space:
     """Document frequencies and latent space over all passages of docs (column text). Two passes; per task one array of counts and one sketch of (terms, rank) numbers."""
     spark, n_terms = docs.sparkSession, len(items.terms)
-    shared = spark.sparkContext.broadcast(items.terms)
+    names = pa.array(list(items.terms), pa.binary())
+    shared = spark.sparkContext.broadcast(names)
 
     def frequencies(batches):
-        df, n = np.zeros(n_terms + 1, np.int64), 0
+        df, n = np.zeros(n_terms, np.int64), 0
         for batch in batches:
-            for _, texts in text_groups(batch):
-                coded = coded_words(shared.value, texts)
-                df[:-1] += np.bincount(tiles(coded, n_terms)[1], minlength=n_terms)
-                df[-1] += sum(-(-len(c) // TILE) for c in coded)
+            for _, data, ends in text_bytes(batch.column(0)):
+                coded = Coded(data, ends, shared.value)
+                df += np.bincount(coded.tiles(n_terms)[1], minlength=n_terms)
+                n += int(coded.n_tiles.sum()) - len(ends)
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), n_terms]), pa.array([*df[at].tolist(), n])], ["term", "n"])
 
-    rows = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(n_terms + 1)
-    for r in rows:
+    for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[r.term] = r.n
     total, df = max(df[-1], 1), df[:-1]
-    idf = np.log((total + 1) / (df + 1)) + 1e-3
-    useful = df <= COMMON * total
-    for c in items.coded:
-        rare = np.unique(c)
-        useful[rare[np.lexsort((rare, df[rare]))[:RARE]]] = True
-    idf = np.where(useful, idf, 0.0)
+    weights = Weights(np.log((total + 1) / (df + 1)) + 1e-3, df > DENSE * total)
     rank = max(1, min(rank, n_terms))
     omega = np.random.default_rng(SEED).normal(size=(n_terms, rank)).astype(np.float32)
-    given = spark.sparkContext.broadcast((items.terms, idf, omega))
-
-    def sketch_of(row, term, times, idf, omega):
-        w = (1 + np.log(times)) * idf[term]
-        ok = w > 0
-        row, term, w = row[ok], term[ok], w[ok]
-        if not len(row):
-            return None
-        starts = np.flatnonzero(np.diff(row, prepend=-1))
-        n = np.diff(np.append(starts, len(row)))
-        w = (w / np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), n)).astype(np.float32)[:, None]
-        image = np.repeat(np.add.reduceat(omega[term] * w, starts), n, 0) * w
-        order = np.argsort(term, kind="stable")
-        term = term[order]
-        first = np.flatnonzero(np.diff(term, prepend=-1))
-        return term[first], np.add.reduceat(image[order], first)
+    given = spark.sparkContext.broadcast((names, weights, omega))
 
     def sketch(batches):
-        terms, idf, omega = given.value
+        names, weights, omega = given.value
         total = np.zeros(omega.shape)
         for batch in batches:
-            for _, texts in text_groups(batch):
-                row, term, times, _ = tiles(coded_words(terms, texts), len(terms))
-                got = sketch_of(row, term, times, idf, omega)
-                if got:
-                    total[got[0]] += got[1]
-        for k in range(0, len(terms), SKETCH_TERMS):
+            for _, data, ends in text_bytes(batch.column(0)):
+                coded = Coded(data, ends, names)
+                row, term, times = coded.tiles(n_terms)
+                for first, n, part in _stretches(row, int(coded.n_tiles.sum())):
+                    parts = weights.of(row[part] - first, term[part], times[part], n, True)
+                    weights.add_back(parts, weights.times(parts, omega), total)
+        for k in range(0, n_terms, SKETCH_TERMS):
             part = total[k : k + SKETCH_TERMS].astype("<f4")
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()], pa.binary())], ["first", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([TaskContext.get().partitionId()]), pa.array([part.tobytes()], pa.binary())], ["first", "task", "y"])
 
     def added(table):
         total = 0.0
         for y in table.column("y"):
             total = total + np.frombuffer(y.as_py(), "<f4").astype(np.float64)
-        return pa.table({"first": table.column("first").slice(0, 1), "y": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"first": table.column("first").slice(0, 1), "task": table.column("task").slice(0, 1), "y": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
     y = np.zeros((n_terms, rank))
-    sums = docs.select("text").mapInArrow(sketch, "first long, y binary").groupBy("first").applyInArrow(added, "first long, y binary")
+    sums = docs.select("text").mapInArrow(sketch, SKETCH)
+    for tasks in TREE:
+        # sums over neighbouring tasks: no task reads very many sketches of a stretch of terms
+        sums = sums.select("first", (F.col("task") / tasks).cast("long").alias("task"), "y").groupBy("first", "task").applyInArrow(added, SKETCH)
+        sums = sums.withColumn("task", F.col("task") * tasks)
     for r in sums.collect():
-        part = np.frombuffer(r.y).reshape(-1, rank)
+        part = np.frombuffer(r.y, "<f4").reshape(-1, rank)
         y[r["first"] : r["first"] + len(part)] = part
-    if items.coded:
-        at, part = sketch_of(*_item_rows(items), idf, omega) or (np.empty(0, np.int64), 0.0)
-        y[at] += part * max(1.0, total / len(items.coded))
-    return Space(idf, _basis(y, omega.astype(np.float64)))
+    own = np.zeros_like(y)
+    parts = weights.of(*_item_rows(items), len(items.coded), True)
+    weights.add_back(parts, weights.times(parts, omega), own)
+    return Space(weights, _basis(y + own * max(1.0, total / len(items.coded)), omega.astype(np.float64)))
 
 
 def _basis(y: np.ndarray, omega: np.ndarray) -> np.ndarray:
@@ -230,27 +278,35 @@ def _unit(x: np.ndarray) -> np.ndarray:
 MATCH = "doc_id long, item_id long, cosine double, lcs int, n_words int, begin int, end int"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rank: int = RANK, cosine: float = COSINE, cover: float = COVER, answer: float = ANSWER, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rank: int = RANK, cosine: float = COSINE, cover: float = COVER, answer: float = ANSWER, block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, n_words, begin, end) of each document that holds an item, once per pair: the match with the longest common subsequence, then the highest cosine; begin and end are places of words.
 
     n_words is the item's length in words (maximal runs of letters, digits and non-ASCII characters, A-Z lower-cased). Items and
-    documents that are null or without words match nothing. Repeated rows with one id count as one document. Items are searched
-    in blocks of block_items, which bounds what is broadcast. An empty table on either side gives an empty result.
+    documents that are null or without words match nothing; a document without an id can match, and its rows count as one
+    document, as do repeated rows with one id. Only id_col and text_col are read, whatever other columns are called. Items are
+    searched in blocks of at most block_items items and block_words words (or one longer item), which bounds what is broadcast
+    and what a task holds; each block reads docs three times. An empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = benchmark.select(F.col(item_id).cast("long"), item_text).where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).distinct().orderBy(item_id, item_text)
     out = None
     block: list[tuple[int, str]] = []
+    size = 0
+
+    def searched(block):
+        part = _search(rows, Items(block), rank, cosine, cover, answer)
+        return part if out is None else out.unionByName(part)
+
     for r in every.toLocalIterator():
-        if words_of(r[1]):
+        n = len(words_of(r[1]))
+        if block and n and (len(block) == block_items or size + n > block_words):
+            out, block, size = searched(block), [], 0
+        if n:
             block.append((r[0], r[1]))
-        if len(block) == block_items:
-            part = _search(rows, Items(block), rank, cosine, cover, answer)
-            out, block = part if out is None else out.unionByName(part), []
+            size += n
     if block:
-        part = _search(rows, Items(block), rank, cosine, cover, answer)
-        out = part if out is None else out.unionByName(part)
+        out = searched(block)
     if out is None:
         return spark.createDataFrame([], MATCH)
     best = F.max_by(F.struct("cosine", "lcs", "n_words", "begin", "end"), F.struct("lcs", "cosine", F.negate("begin")))
@@ -263,34 +319,31 @@ def _search(rows: DataFrame, items: Items, rank: int, cosine: float, cover: floa
 
     def run(batches):
         items, space = given.value
-        n_terms = len(items.terms)
-        latent = np.zeros((len(items.coded), space.basis.shape[1]), np.float32)
-        v, at = space.vectors(*_item_rows(items))
-        latent[at] = v
-        latent = _unit(latent).T.copy()
-        weight = space.idf
+        n_terms, names = len(items.terms), pa.array(list(items.terms), pa.binary())
+        latent = _unit(space.vectors(*_item_rows(items), len(items.coded))).T.copy()
         for batch in batches:
-            ids, found = batch.column(0).to_pylist(), []
-            for first, texts in text_groups(batch):
-                coded = coded_words(items.terms, texts)
-                row, term, times, base = tiles(coded, n_terms)
-                v, at = space.vectors(row, term, times)
-                if not len(at):
-                    continue
-                # a window is a tile and the next one, or the last tile by itself
-                follows = np.zeros(len(at), bool)
-                follows[:-1] = at[1:] == at[:-1] + 1
-                window = v.copy()
-                window[follows] += v[1:][follows[:-1]]
-                for k in range(0, len(at), 8192):
-                    close = _unit(window[k : k + 8192]) @ latent
-                    for i, j in np.argwhere(close >= cosine):
-                        t = int(at[k + i])
-                        d = int(np.searchsorted(base, t, "right")) - 1
-                        found.append((first + d, d, t - int(base[d]), int(j), float(close[i, j]), first))
+            ids = batch.column(0).to_pylist()
+            for first, data, ends in text_bytes(batch.column(1)):
+                coded, found = Coded(data, ends, names), []
+                row, term, times = coded.tiles(n_terms)
+                n_rows = int(coded.n_tiles.sum())
+                gap = np.zeros(n_rows + 1, bool)
+                gap[coded.base + coded.n_tiles - 1] = True
+                held = np.zeros((1, space.basis.shape[1]), np.float32)
+                # from the end, as a window is a tile and the next one, or the last tile by itself
+                for a, n, part in reversed(list(_stretches(row, n_rows))):
+                    v = space.vectors(row[part] - a, term[part], times[part], n)
+                    window = v + np.concatenate([v[1:], held])
+                    held = v[:1]
+                    window[gap[a : a + n]] = 0
+                    close = _unit(window) @ latent
+                    hits = np.flatnonzero(close >= cosine)
+                    for i, j, x in zip((hits // close.shape[1] + a).tolist(), (hits % close.shape[1]).tolist(), close.ravel()[hits].tolist()):
+                        d = int(np.searchsorted(coded.base, i, "right")) - 1
+                        found.append((first + d, d, i - int(coded.base[d]), j, x))
                 # neighbouring windows of one item are one candidate
-                for cand in _merged([f for f in found if f[5] == first]):
-                    m = _confirm(items, weight, coded[cand[1]], cand, cover, answer)
+                for cand in _merged(found):
+                    m = _confirm(items, space.weights.idf, coded.of(cand[1]), cand, cover, answer)
                     if m:
                         yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[cand[0]]], pa.int64()), "item_id": pa.array([items.ids[cand[3]]], pa.int64()), "cosine": [cand[4]], "lcs": pa.array([m[0]], pa.int32()), "n_words": pa.array([len(items.coded[cand[3]])], pa.int32()), "begin": pa.array([m[1]], pa.int32()), "end": pa.array([m[2]], pa.int32())})
 
@@ -300,7 +353,7 @@ def _search(rows: DataFrame, items: Items, rank: int, cosine: float, cover: floa
 def _merged(found: list[tuple]) -> list[tuple]:
     """Of runs of neighbouring windows of one text and item one candidate, the closest, with the first and last tile of the run."""
     out: list[list] = []
-    for row, d, tile, item, cos, first in sorted(found, key=lambda f: (f[0], f[3], f[2])):
+    for row, d, tile, item, cos in sorted(found, key=lambda f: (f[0], f[3], f[2])):
         if out and out[-1][0] == row and out[-1][3] == item and tile <= out[-1][5] + 2:
             out[-1][5] = tile
             out[-1][4] = max(out[-1][4], cos)
