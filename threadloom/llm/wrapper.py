@@ -1,18 +1,19 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host share a template. A wrapper is induced for each host: the DOM trees of a few of its pages are aligned by simple
-tree matching (Yang, 1991: the largest order-keeping match of two trees, by dynamic programming over children), nodes that say the
-same in all of them become template, those that vary become slots, and runs of like siblings one repeated node. A host of
-several layouts gets a wrapper for each that its reference pages show.
+Pages of a host share a template. A wrapper is induced for each host: the DOM trees of a few of its pages, in which runs of like
+siblings are one repeated node, are aligned by simple tree matching (Yang, 1991: the largest order-keeping match of two trees, by
+dynamic programming over children). A host of several layouts gets a wrapper for each that its reference pages show.
 
-The reference pages only give the trees to align with. What is template is decided by counts over all pages: each page of the host
-is aligned with its layout's wrapper, and for each place (the node around a block) and text the distinct pages that show it are
-counted. A text that at least SUPPORT + 1 pages show, and more than SHARE of the pages that have the place (by one standard
-deviation, as passages repeat in a seventh of some hosts' articles), is template, whether
-the reference pages hold it or not; so one place may have several template texts, or be there on some pages only.
+The reference pages only give the trees to align with. What is template and what is content is decided by counts over all pages:
+each page of the host is aligned with its layout's wrapper, and for each place (the node around a block) and text the distinct
+pages that show it are counted. A text that at least SUPPORT + 1 pages show, and more than SHARE of the pages that have the place
+(by one standard deviation, as passages repeat in a seventh of some hosts' articles), is template, whether the reference pages
+hold it or not; so one place may have several template texts, or be there on some pages only.
 
-The content slot is the page's article (or the part that holds most of its varying text), without parts that tags, roles or class
-names mark as menus, headers, footers, sidebars, notices, adverts, forms or comments.
+What isn't template fills the wrapper's slots. The characters of each slot outside links, summed over all pages of the host, choose
+the content: the articles among the wrapper's nodes if they hold most of that text, else the lowest node that holds FOCUS of it.
+Parts that tags, roles or class names mark as menus, headers, footers, sidebars, notices, adverts, forms or comments take no
+part in this. Pages without a wrapper are treated by the same rules, on their own text.
 
 Reference pages are chosen by pre-aggregated minima, so a host with a third of all pages is as cheap as any; wrappers are small and
 reach pages by a join, broadcast only if all of them together are within a checked size.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import json
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 import xxhash
@@ -36,75 +37,110 @@ SUPPORT = 3
 #: Of the pages that have a place, the share that has to show a text there; and how alike the outlines of pages of one layout are.
 SHARE = 0.2
 ALIKE = 0.6
+#: Of the varying text outside links, the share that the content's node has to hold.
+FOCUS = 0.8
 BROADCAST_BYTES = 16 << 20
+#: Deeper elements hang from the element at this depth, or from the left-out one that is around them.
 MAX_DEPTH = 150
+#: More pairs of siblings than this are matched in a band around the diagonal.
+MAX_CELLS = 1 << 18
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template head title iframe object svg canvas math".split())
+#: Of these, what a block element ends if it begins inside, on pages that close fewer of them than they open.
+LEAKY = ("iframe", "object", "svg", "canvas", "math", "noscript", "template")
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 OUT_TAGS = frozenset("nav footer aside form button select textarea input dialog menu label option".split())
 #: What an opening tag ends, if it is open and nothing in `BARS` lies between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr"}, "tbody": {"tr", "thead"}, "tfoot": {"tr", "tbody"}}
 BARS = frozenset("ul ol dl table article section div main body aside nav form".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "legend", "tr", "tbody", "thead", "tfoot"}
-OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promos?|promotions?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist|replies|reply|respond|disqus|pagination|pager|toolbar|widgets?|search|skip|outbrain|taboola|paywall)(?:$|[\s_-]|\d)",
-    re.IGNORECASE,
+#: Names of parts that aren't the article. They count as whole tokens of a class or an id, as the token's first word before a noun of PART, or as a noun of PART's qualifier.
+OUT_WORDS = frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promos promotion "
+    "banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment "
+    "comments commentlist replies reply respond disqus pagination pager toolbar widget widgets outbrain taboola paywall".split()
 )
+PART = frozenset(
+    "area bar block box bottom button buttons container content form item items left links list message nav notice panel posts right section slot top unit widget widgets wrap wrapper banner menu main primary secondary footer sidebar inner".split()
+)
+OUT_WHOLE = frozenset("header search skip skip-link sign-up site-header page-header site-footer page-footer site-nav main-nav top-nav main-menu side-bar left-sidebar right-sidebar".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "name", "out", "children", "template")
+    __slots__ = ("tag", "name", "out", "children", "template", "linked")
 
     def __init__(self, tag: str, name: str = "", out: bool = False):
-        self.tag, self.name, self.out, self.children, self.template = tag, name, out, [], False
+        self.tag, self.name, self.out, self.children, self.template, self.linked = tag, name, out, [], False, False
+
 
+def out_name(names: str) -> bool:
+    """Whether one of these class names or ids marks a part that isn't the article. `no-sidebar`, `with-sidebar`, `has-ads` or `entry-header` don't."""
+    for token in names.lower().split():
+        if token in OUT_WORDS or token in OUT_WHOLE:
+            return True
+        words = re.split(r"[-_]+", token.rstrip("0123456789-_"))
+        if words[0] in OUT_WORDS and all(w in PART or w in OUT_WORDS or w.isdigit() for w in words[1:]):
+            return True
+    return False
 
-def _is_out(tag: str, attrs: dict) -> bool:
-    if tag in OUT_TAGS or (attrs.get("role") or "").lower() in OUT_ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or HIDDEN.search(attrs.get("style") or ""):
+
+def _is_out(tag: str, attrs: dict[str, str]) -> bool:
+    if attrs.get("role", "").lower() in OUT_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or HIDDEN.search(attrs.get("style", "")):
         return True
     if tag in ("body", "html", "article", "main"):
         return False
-    return bool(OUT_NAMES.search(attrs.get("class") or "") or OUT_NAMES.search(attrs.get("id") or ""))
+    return out_name(attrs.get("class", "")) or out_name(attrs.get("id", ""))
+
+
+#: A tag, or what is dropped: comments, declarations, instructions and end tags without a name. Quotes count after an equals sign only.
+MARKUP = re.compile(r"""<(?:(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?|["'])*+)>|!--(?:-?>|.*?--!?>)|(?P<open>!--)|[!?/][^>]*+>)""", re.DOTALL)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?""")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style")}
+CUT_OFF = re.compile("<[a-zA-Z/!?]")
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag, the first of those with one name."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(text):
+        if value[:1] in ("'", '"') and value[-1:] == value[:1]:
+            value = value[1:-1]
+        out.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return out
+
 
+class _Builder:
+    """Open elements are (tag, the node that takes what comes)."""
 
-class _Builder(HTMLParser):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#root")
-        self.stack = [self.root]
-        self.unseen = 0
+        self.stack = [("#root", self.root)]
+        self.leaky = {"head"}
 
     def handle_starttag(self, tag, attrs):
-        if tag in UNSEEN:
-            self.unseen += tag not in VOID
-            return
-        if self.unseen:
-            if tag != "body":
-                return
-            self.unseen = 0
+        if tag in BLOCK:
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k][0] in self.leaky:
+                    del self.stack[k:]
+                    break
+                if self.stack[k][0] in BLOCK:
+                    break
         if tag in CLOSES_P:
             self._end({"p"})
         if tag in ENDS:
             self._end(ENDS[tag])
-        attrs = dict(attrs)
-        node = Node(tag, f"{attrs.get('id') or ''}.{attrs.get('class') or ''}", _is_out(tag, attrs))
-        self.stack[-1].children.append(node)
-        if tag not in VOID and len(self.stack) < MAX_DEPTH:
-            self.stack.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        elif tag not in UNSEEN:
-            self.handle_starttag(tag, attrs)
-            self.handle_endtag(tag)
+        around = self.stack[-1][1]
+        node = Node(tag, f"{attrs.get('id', '')}.{attrs.get('class', '')}" if attrs else ".", tag in UNSEEN or tag in OUT_TAGS or (attrs and _is_out(tag, attrs)))
+        around.children.append(node)
+        if tag not in VOID:
+            self.stack.append((tag, node if len(self.stack) < MAX_DEPTH or (node.out and not around.out) else around))
 
     def _end(self, tags):
         for k in range(len(self.stack) - 1, 0, -1):
-            t = self.stack[k].tag
+            t = self.stack[k][0]
             if t in tags:
                 del self.stack[k:]
                 return
@@ -112,33 +148,57 @@ class _Builder(HTMLParser):
                 return
 
     def handle_endtag(self, tag):
-        if tag in UNSEEN:
-            self.unseen = max(0, self.unseen - 1)
-            return
-        if self.unseen:
-            return
         for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
+            if self.stack[k][0] == tag:
                 del self.stack[k:]
                 return
-            if tag not in BARS and self.stack[k].tag in BARS:
+            if tag not in BARS and self.stack[k][0] in BARS:
                 return
 
     def handle_data(self, data):
-        if not self.unseen:
-            kids = self.stack[-1].children
-            if kids and kids[-1].tag == "#text":
-                kids[-1].name += data
-            elif not data.isspace():
-                kids.append(Node("#text", data))
-            else:
-                kids.append(Node("#space"))
+        if self.stack[-1][0] in UNSEEN:
+            return
+        kids = self.stack[-1][1].children
+        if kids and kids[-1].tag == "#text":
+            kids[-1].name += data
+        elif not data.isspace():
+            kids.append(Node("#text", data))
+            kids[-1].linked = any(t == "a" for t, _ in self.stack[-4:])
+        else:
+            kids.append(Node("#space"))
 
 
 def parse(html: str) -> Node:
+    """The tree of a page. What isn't closed ends with what is around it; an open comment, and a tag that is cut off, go on to the end."""
     builder = _Builder()
-    builder.feed(html)
-    builder.close()
+    low = html.lower()
+    builder.leaky.update(t for t in LEAKY if low.count("<" + t) > low.count("</" + t))
+    at, search = 0, MARKUP.search
+    while found := search(html, at):
+        begin = found.start()
+        if begin > at:
+            text = html[at:begin]
+            builder.handle_data(unescape(text) if "&" in text else text)
+        at = found.end()
+        end, tag, attrs, opened = found.groups()
+        if tag:
+            tag = tag.lower()
+            if end:
+                builder.handle_endtag(tag)
+                continue
+            builder.handle_starttag(tag, attributes(attrs) if attrs and not attrs.isspace() else {})
+            if attrs[-1:] == "/":
+                if tag not in VOID:
+                    builder.handle_endtag(tag)
+            elif tag in RAW_END:
+                closed = RAW_END[tag].search(html, at)
+                at = closed.start() if closed else len(html)
+        elif opened:
+            at = len(html)
+    cut = CUT_OFF.search(html, at)
+    text = html[at : cut.start()] if cut else html[at:]
+    if text:
+        builder.handle_data(unescape(text))
     return builder.root
 
 
@@ -146,53 +206,80 @@ def says(node: Node) -> str:
     return " ".join(node.name.split())
 
 
-# wrappers: [tag, name, text or None, repeated, children]; text is None where it varies, and for elements
+# wrappers: [tag, name, text or None, repeated, children]; text is None for elements, and where it varies
 
 
-def as_wrapper(node: Node) -> list:
-    kids = [as_wrapper(c) for c in node.children if c.tag not in ("#space", "br", "wbr")]
-    return [node.tag, "" if node.tag == "#text" else node.name, says(node) if node.tag == "#text" else None, False, kids]
+def as_wrapper(node: Node, of: dict | None = None) -> list:
+    """The tree as a wrapper, without white space and parts that browsers don't show; `of` gets the nodes of texts and elements by the identity of their wrapper nodes."""
+    kids = [as_wrapper(c, of) for c in node.children if c.tag != "#space" and c.tag not in VOID and c.tag not in UNSEEN]
+    w = [node.tag, "" if node.tag == "#text" else node.name, says(node) if node.tag == "#text" else None, False, kids]
+    if of is not None:
+        of[id(w)] = node
+    return w
 
 
 def match(a: list, b: list, memo: dict | None = None) -> tuple[float, list[tuple[list, list]]]:
-    """Score of the best match of two wrapper trees with equal roots' tags, and the pairs of children matched. A repeated child of b may take several of a."""
+    """Score of the best match of two wrapper trees with equal roots' tags, and the pairs of children matched. A repeated child of b may take several of a.
+
+    One byte is kept for each pair of children; if those were more than MAX_CELLS, only pairs in a band around the diagonal are tried.
+    """
     x, y = a[4], b[4]
     memo = {} if memo is None else memo
     if not x or not y:
         return 1.0, []
-    best = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    own = {}
-    for i, p in enumerate(x, 1):
-        row, up = best[i], best[i - 1]
-        for j, q in enumerate(y, 1):
-            top = up[j] if up[j] >= row[j - 1] else row[j - 1]
+    wide = len(y) if len(x) * len(y) <= MAX_CELLS else max(1, MAX_CELLS // len(x))
+    # per row: the first column tried, and what was best there (0: left, 1: up, 2: both, 3: up with the pair, for repeated ones)
+    rows: list[tuple[int, bytearray]] = []
+    above, low = [0.0] * (len(y) + 1), 0
+    for i, p in enumerate(x):
+        low = 0 if wide == len(y) else min(max(0, i * len(y) // len(x) - wide // 2), len(y) - wide)
+        row, took = [0.0] * (len(y) + 1), bytearray(wide)
+        best = row[low] = above[low] if low else 0.0
+        for j in range(low, low + wide):
+            q = y[j]
+            kind = 0
+            if above[j + 1] > best:
+                best, kind = above[j + 1], 1
             if p[0] == q[0]:
-                s = own[i, j] = _score(p, q, memo)
-                top = max(top, up[j - 1] + s, up[j] + s if q[3] else 0.0)
-            row[j] = top
-    pairs, i, j = [], len(x), len(y)
-    while i and j:
-        s = own.get((i, j))
-        if s is not None and best[i][j] == best[i - 1][j - 1] + s:
-            pairs.append((x[i - 1], y[j - 1]))
-            i, j = i - 1, j - 1
-        elif s is not None and y[j - 1][3] and best[i][j] == best[i - 1][j] + s:
-            pairs.append((x[i - 1], y[j - 1]))
+                s = _score(p, q, memo)
+                if above[j] + s > best:
+                    best, kind = above[j] + s, 2
+                if q[3] and above[j + 1] + s > best:
+                    best, kind = above[j + 1] + s, 3
+            row[j + 1], took[j - low] = best, kind
+        for j in range(low + wide, len(y) if wide < len(y) else 0):
+            row[j + 1] = best
+        rows.append((low, took))
+        above = row
+    pairs, i, j = [], len(x) - 1, len(y) - 1
+    while i >= 0 and j >= 0:
+        low, took = rows[i]
+        if j >= low + len(took):
+            j -= 1
+            continue
+        if j < low:
             i -= 1
-        elif best[i][j] == best[i - 1][j]:
+            continue
+        kind = took[j - low]
+        if kind >= 2:
+            pairs.append((x[i], y[j]))
+        if kind != 0:
             i -= 1
-        else:
+        if kind in (0, 2):
             j -= 1
-    return 1.0 + best[-1][-1], pairs
+    return 1.0 + above[-1], pairs
 
 
 def _score(p: list, q: list, memo: dict) -> float:
     if p[0] == "#text":
         return 1.5 if p[2] == q[2] else 0.5
+    same = 0.5 if p[1] == q[1] else 0.0
+    if not p[4] or not q[4]:
+        return 1.0 + same
     key = (id(p), id(q))
     if key not in memo:
-        memo[key] = match(p, q, memo)
-    return memo[key][0] + (0.5 if p[1] == q[1] else 0.0)
+        memo[key] = match(p, q, memo)[0]
+    return memo[key] + same
 
 
 def align(a: list, b: list):
@@ -203,14 +290,14 @@ def align(a: list, b: list):
         p, q = todo.pop()
         yield p, q
         if p[0] != "#text":
-            todo += (memo.get((id(p), id(q))) or match(p, q, memo))[1]
+            todo += match(p, q, memo)[1]
 
 
 def _folded(w: list) -> list:
-    """Neighbouring siblings of one tag and name, without template text, become one repeated node."""
+    """Neighbouring siblings of one tag and name become one repeated node, with the children of the one that has most."""
     kids: list = []
     for c in map(_folded, w[4]):
-        if kids and kids[-1][:2] == c[:2] and _varies(kids[-1]) and _varies(c) and c[0] != "#text":
+        if kids and kids[-1][:2] == c[:2] and c[0] != "#text":
             if len(c[4]) > len(kids[-1][4]):
                 kids[-1] = c
             kids[-1][3] = True
@@ -220,17 +307,15 @@ def _folded(w: list) -> list:
     return w
 
 
-def _varies(w: list) -> bool:
-    return w[2] is None and all(map(_varies, w[4]))
-
-
 def induce(pages: list[str]) -> list | None:
-    """The wrapper of pages of a host; None of fewer than two different ones, which show nothing of what varies. No text of fewer than SUPPORT alignments is template."""
-    trees = [as_wrapper(parse(p)) for p in dict.fromkeys(pages)]
+    """The wrapper of pages of one layout; None of fewer than two different ones, which show nothing of what varies. No text of fewer than SUPPORT alignments is template."""
+    trees = [_folded(as_wrapper(parse(p))) for p in dict.fromkeys(pages)]
     if len(trees) < 2:
         return None
-    base, same, seen = trees[0], {}, {}
-    for other in trees[1:]:
+    base, same, seen = max(trees, key=_nodes), {}, {}
+    for other in trees:
+        if other is base:
+            continue
         for p, q in align(other, base):
             if q[0] == "#text":
                 seen[id(q)] = seen.get(id(q), 0) + 1
@@ -243,7 +328,11 @@ def induce(pages: list[str]) -> list | None:
             settle(c)
 
     settle(base)
-    return _folded(base)
+    return base
+
+
+def _nodes(w: list) -> int:
+    return 1 + sum(map(_nodes, w[4]))
 
 
 def outline(w: list, above: str = "") -> set:
@@ -259,74 +348,135 @@ def layouts(pages: list[str]) -> list | None:
         return None
     kinds: list[tuple[set, list[str]]] = []
     for p in distinct:
-        own = outline(as_wrapper(parse(p)))
+        own = outline(_folded(as_wrapper(parse(p))))
         near = max(kinds, key=lambda k: _alike(k[0], own), default=None)
         if near is not None and _alike(near[0], own) >= ALIKE:
             near[1].append(p)
         else:
             kinds.append((own, [p]))
-    return [induce(group) or as_wrapper(parse(group[0])) for _, group in kinds]
+    return [induce(group) or _settled(_folded(as_wrapper(parse(group[0])))) for _, group in kinds]
+
+
+def _settled(w: list) -> list:
+    """Without texts, of which one page says nothing."""
+    w[2] = None
+    for c in w[4]:
+        _settled(c)
+    return w
 
 
 def _alike(a: set, b: set) -> float:
     return len(a & b) / len(a | b)
 
 
+#: Elements whose inside isn't aligned: their texts belong to them.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 pre".split())
+
+
+def _bare(w: list) -> list:
+    """A wrapper's elements without texts."""
+    return [w[0], w[1], None, w[3], [] if w[0] in LEAVES else [_bare(c) for c in w[4] if c[0] != "#text"]]
+
+
+def _bare_page(node: Node, of: dict[int, Node]) -> list:
+    """A page's elements as a wrapper without texts; `of` gets the nodes by the identity of their wrapper nodes."""
+    w = [node.tag, node.name, None, False, [] if node.tag in LEAVES else [_bare_page(c, of) for c in node.children if c.tag[0] != "#" and c.tag not in VOID and c.tag not in UNSEEN]]
+    of[id(w)] = node
+    return w
+
+
 class Wrappers:
     """A host's wrappers with what aligning pages with them needs."""
 
     def __init__(self, wrappers: list):
-        self.wrappers = wrappers
-        self.outlines = [outline(w) for w in wrappers]
-        self.names: dict[int, str] = {}
-        for k, w in enumerate(wrappers):
+        self.wrappers = [_bare(w) for w in wrappers]
+        self.outlines = [outline(w) for w in self.wrappers]
+        #: Of each wrapper node its number: the layout's in the high bits, then its place in the tree, parents before children.
+        self.number: dict[int, int] = {}
+        for k, w in enumerate(self.wrappers):
             todo, n = [w], 0
             while todo:
                 q = todo.pop()
-                self.names[id(q)] = f"{k}.{n}"
+                self.number[id(q)] = k << 32 | n
                 n += 1
-                todo += q[4]
+                todo += reversed(q[4])
 
-    def keys(self, root: Node) -> list[tuple[Node, int, int]]:
-        """(text node, place, place with text) of each text of a page; the latter two as 64-bit hashes, never 0.
+    def read(self, root: Node) -> tuple[list[tuple[Node, int, int, int]], dict[int, list[Node]]]:
+        """(text node, place, place with text, wrapper node's number) of each text of a page, and the page's nodes by the number of their wrapper node. Places are 64-bit hashes, never 0.
 
         The place is the wrapper node that is aligned with the element around the text's block (or with the nearest element
         above, and the tags from there), so that blocks of one container share it in any order.
         """
-        out: list[tuple[list, Node]] = []
-
-        def convert(node):
-            kids = [convert(c) for c in node.children if c.tag not in ("#space", "br", "wbr")]
-            w = [node.tag, "" if node.tag == "#text" else node.name, says(node) if node.tag == "#text" else None, False, kids]
-            if node.tag == "#text":
-                out.append((w, node))
-            return w
-
-        tree = convert(root)
+        node_of: dict[int, Node] = {}
+        tree = _bare_page(root, node_of)
         at = 0
         if len(self.wrappers) > 1:
             own = outline(tree)
             at = max(range(len(self.wrappers)), key=lambda k: (_alike(self.outlines[k], own), -k))
-        with_ = {id(p): self.names[id(q)] for p, q in align(tree, self.wrappers[at])}
-        node_of = {id(w): node for w, node in out}
+        with_: dict[int, int] = {}
+        nodes: dict[int, list[Node]] = {}
+        for p, q in align(tree, self.wrappers[at]):
+            with_[id(node_of[id(p)])] = k = self.number[id(q)]
+            nodes.setdefault(k, []).append(node_of[id(p)])
         got = []
 
-        def walk(w, place, around, inner):
-            # place: of w itself; around: of the element around w's block; inner: tags from there
-            if w[0] == "#text":
-                a = xxhash.xxh3_64_intdigest(around) >> 1 or 1
-                got.append((node_of[id(w)], a, xxhash.xxh3_64_intdigest(f"{around}\n{inner}\n{w[2]}".encode("utf-8", "surrogatepass")) >> 1 or 1))
-                return
-            for c in w[4]:
-                own = place if c[0] == "#text" else with_.get(id(c)) or f"{place}/{c[0]}"
-                if c[0] in BLOCK:
-                    walk(c, own, place, c[0])
-                else:
-                    walk(c, own, around, inner if c[0] == "#text" else f"{inner} {c[0]}")
+        def walk(node, spot, place, around, inner):
+            # spot: the nearest aligned node; place: of node itself; around: of the element around its block; inner: tags from there
+            for c in node.children:
+                tag = c.tag
+                if tag == "#text":
+                    a = xxhash.xxh3_64_intdigest(around) >> 1 or 1
+                    got.append((c, a, xxhash.xxh3_64_intdigest(f"{around}\n{inner}\n{says(c)}".encode("utf-8", "surrogatepass")) >> 1 or 1, spot))
+                elif c.children and tag not in UNSEEN:
+                    to = with_.get(id(c))
+                    own = f"{place}/{tag}" if to is None else str(to)
+                    to = spot if to is None else to
+                    if tag in BLOCK:
+                        walk(c, to, own, place, tag)
+                    else:
+                        walk(c, to, own, around, f"{inner} {tag}")
+
+        top = with_[id(root)]
+        walk(root, top, str(top), str(top), "")
+        return got, nodes
+
+    def content(self, amounts: dict[int, int]) -> set[int]:
+        """Numbers of the nodes that are the content of their layouts, by the amounts of varying text outside links at each node."""
+        return {self.number[id(q)] for w in self.wrappers for q in _chosen(w, lambda q: q[4], lambda q: q[0], lambda q: amounts.get(self.number[id(q)], 0))}
+
+
+def _chosen(root, children, tag, amount) -> list:
+    """Of a tree whose nodes hold amounts of varying text: its articles if they hold most of it, else its main parts if these do, else the lowest node that holds FOCUS of it. Of several articles, the one that holds most and its siblings; the others are teasers."""
+    total: dict[int, int] = {}
+    parent: dict[int, object] = {}
+
+    def add(node) -> int:
+        for c in children(node):
+            parent[id(c)] = node
+        total[id(node)] = amount(node) + sum(add(c) for c in children(node))
+        return total[id(node)]
+
+    whole = add(root)
+    for kind in ("article", "main"):
+        found, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            if tag(node) == kind and total[id(node)]:
+                found.append(node)
+            else:
+                todo += reversed(children(node))
+        if found and 2 * sum(total[id(n)] for n in found) >= whole:
+            most = max(found, key=lambda n: total[id(n)])
+            return [n for n in found if n is most or parent.get(id(n)) is parent.get(id(most))]
+    node = root
+    while True:
+        best = max((c for c in children(node) if tag(c) in BLOCK and tag(c) not in PARAGRAPHS), key=lambda c: total[id(c)], default=None)
+        if best is None or not whole or total[id(best)] < FOCUS * whole:
+            return [node]
+        node = best
 
-        top = with_[id(tree)]
-        walk(tree, top, top, "")
-        return got
+
+PARAGRAPHS = frozenset("p ul ol dl table pre blockquote h1 h2 h3 h4 h5 h6 li figure".split())
 
 
 def mark_template(root: Node, wrapper: list | None) -> None:
@@ -334,29 +484,19 @@ def mark_template(root: Node, wrapper: list | None) -> None:
     if wrapper is None:
         return
     back: dict[int, Node] = {}
-
-    def convert(node):
-        kids = [convert(c) for c in node.children if c.tag not in ("#space", "br", "wbr")]
-        w = [node.tag, "" if node.tag == "#text" else node.name, says(node) if node.tag == "#text" else None, False, kids]
-        if node.tag == "#text":
-            back[id(w)] = node
-        return w
-
-    tree = convert(root)
-    for p, q in align(tree, wrapper):
+    for p, q in align(as_wrapper(root, back), wrapper):
         if p[0] == "#text" and q[2] is not None and p[2] == q[2]:
             back[id(p)].template = True
 
 
-def _amount(node: Node, in_head: bool = False) -> tuple[int, int]:
-    """Characters of text that is in, and those of them that aren't template."""
-    if node.tag == "#text":
-        n = len(says(node))
-        return n, 0 if node.template else n
-    if node.out or node.tag == "header":
-        return 0, 0
-    total = [_amount(c) for c in node.children]
-    return sum(t[0] for t in total), sum(t[1] for t in total)
+def _prose(node: Node) -> int:
+    """Characters of a text outside links."""
+    return 0 if node.linked else len(says(node))
+
+
+def content_slots(root: Node) -> list[Node]:
+    """The content of a page by itself: what _chosen says of its own varying text, without what is left out."""
+    return _chosen(root, lambda n: [c for c in n.children if not c.out and c.tag != "header"], lambda n: n.tag, lambda n: sum(_prose(c) for c in n.children if c.tag == "#text" and not c.template))
 
 
 def _find(node: Node, test) -> list[Node]:
@@ -366,24 +506,8 @@ def _find(node: Node, test) -> list[Node]:
     return [] if node.out else [x for c in node.children for x in _find(c, test)]
 
 
-def content_slot(root: Node) -> Node:
-    """The article with most varying text; else the main part; else the lowest node that holds nearly all varying text of paragraphs."""
-    for test in (lambda n: n.tag == "article", lambda n: n.tag == "main" or re.search(r"\b(?:article|main|content|post|entry|story)\b", n.name) is not None and n.tag in ("div", "section", "main", "td")):
-        found = _find(root, test)
-        found = [n for n in found if _amount(n)[0]]
-        if found:
-            return max(found, key=lambda n: _amount(n)[::-1])
-    node, whole = root, max(_amount(root))
-    while True:
-        inner = [c for c in node.children if c.tag in BLOCK and c.tag not in ("p", "ul", "ol", "table", "pre", "blockquote") and not c.out]
-        best = max(inner, key=lambda c: _amount(c)[1], default=None)
-        if best is None or _amount(best)[1] < 0.8 * max(whole and _amount(root)[1], 1):
-            return node
-        node = best
-
-
-def blocks(slot: Node) -> list[str]:
-    """The slot's blocks of text, white space made single; without those that are template as a whole."""
+def blocks(slots: list[Node]) -> list[str]:
+    """The slots' blocks of text, white space made single; without those that are template as a whole."""
     out: list[tuple[str, bool]] = []
     now: list[str] = []
     template = True
@@ -420,21 +544,29 @@ def blocks(slot: Node) -> list[str]:
         if is_block:
             cut()
 
-    walk(slot, True)
-    cut()
+    for slot in slots:
+        walk(slot, True)
+        cut()
     content = [t for t, is_template in out if not is_template]
     # a slot that is template for the most part is one that copies share, not a template
     return content if 2 * sum(map(len, content)) >= sum(len(t) for t, _ in out) else [t for t, _ in out]
 
 
-def page_text(html: str | None, wrappers: Wrappers | None, template: frozenset) -> str:
-    """The main text of a page of a host with these wrappers, whose template texts have these keys."""
+def page_text(html: str | None, wrappers: Wrappers | None, template: frozenset, content: set[int]) -> str:
+    """The main text of a page of a host with these wrappers, whose template texts have these keys and whose content is at these nodes."""
     if not html or wrappers is None:
         return main_text(html)
     root = parse(html)
-    for node, _, key in wrappers.keys(root):
+    texts, nodes = wrappers.read(root)
+    for node, _, key, _ in texts:
         node.template = key in template
-    return "\n\n".join(blocks(content_slot(root)))
+    slots = [n for k in sorted(content) for n in nodes.get(k, ()) if _says_more(n)]
+    return "\n\n".join(blocks(slots or content_slots(root)))
+
+
+def _says_more(node: Node) -> bool:
+    """Whether something that varies is left inside."""
+    return any(not c.template if c.tag == "#text" else not c.out and _says_more(c) for c in node.children)
 
 
 def main_text(html: str | None, wrapper: list | None = None) -> str:
@@ -442,7 +574,7 @@ def main_text(html: str | None, wrapper: list | None = None) -> str:
         return ""
     root = parse(html)
     mark_template(root, wrapper)
-    return "\n\n".join(blocks(content_slot(root)))
+    return "\n\n".join(blocks(content_slots(root)))
 
 
 def host_of(url):
@@ -465,57 +597,84 @@ def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "htm
 
 def _with_wrappers(rows: DataFrame, wrappers: DataFrame, how: str) -> DataFrame:
     """Rows with the columns of their host's wrapper, broadcast if all of them together are small."""
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + 8 * F.size("template"))).first()[0] or 0
-    side = wrappers.select(F.col("host").alias("__host"), "wrapper", "template")
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + 8 * F.size("template") + 16 * F.size("amounts"))).first()[0] or 0
+    side = wrappers.select(F.col("host").alias("__host"), "wrapper", "template", "amounts")
     return rows.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, F.col("__of") == F.col("__host"), how)
 
 
 class _Known:
-    """Wrappers and template keys of hosts as a task meets them."""
+    """Wrappers, template keys and content of hosts as a task meets them."""
 
     def __init__(self):
         self.held: dict = {}
 
-    def get(self, host, wrapper, template):
+    def get(self, host, wrapper, template, amounts):
         if not wrapper.is_valid:
-            return None, frozenset()
+            return None, frozenset(), set()
         if host not in self.held:
             if len(self.held) > 2000:
                 self.held.clear()
-            self.held[host] = Wrappers(json.loads(wrapper.as_py())), frozenset(template.as_py())
+            w = Wrappers(json.loads(wrapper.as_py()))
+            self.held[host] = w, frozenset(template.as_py()), w.content({x["spot"]: x["chars"] for x in amounts.as_py()})
         return self.held[host]
 
 
+AMOUNTS = "array<struct<spot: bigint, chars: bigint>>"
+
+
+def _left_out(root: Node) -> set[int]:
+    """Identities of the text nodes inside parts that are left out."""
+    gone, todo = set(), [(root, False)]
+    while todo:
+        node, out = todo.pop()
+        out = out or node.out or node.tag == "header"
+        if node.tag == "#text" and out:
+            gone.add(id(node))
+        todo += [(c, out) for c in node.children]
+    return gone
+
+
 def template_keys(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """(host, wrapper, template): the wrappers with the keys of the host's template texts, by counts over all distinct pages (rows of html, __of)."""
+    """(host, wrapper, template, amounts): the wrappers with the keys of the host's template texts, and the characters of varying text outside links at each wrapper node, by counts over all distinct pages (rows of html, __of)."""
 
     def run(batches):
         known = _Known()
         for batch in batches:
             hosts, out = batch.column(1).to_pylist(), []
             for i, h in enumerate(hosts):
-                w, _ = known.get(h, batch.column(3)[i], batch.column(4)[i])
-                mark, of = batch.column(2)[i].as_py(), batch.column(5)[i].as_py()
-                shown = {(a, k) for _, a, k in w.keys(parse(batch.column(0)[i].as_py()))}
-                out += [(of, mark, a, k) for a, k in shown | {(a, 0) for a, _ in shown}]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["of", "page", "place", "key"])
-
-    given = _with_wrappers(rows.where(F.length("html") > 0), wrappers.withColumn("template", F.array().cast("array<long>")), "inner")
-    shown = given.select("html", "__of", F.xxhash64("html"), "wrapper", "template", F.xxhash64("__of")).mapInArrow(run, "of long, page long, place long, key long")
-    counts = materialize(shown.groupBy("of", "place", "key").agg(F.count_distinct("page").alias("n")).where(f"key = 0 or n > {SUPPORT}"), "page-counts")
-    have = counts.where("key = 0").select("of", "place", F.col("n").alias("whole"))
+                w, _, _ = known.get(h, batch.column(3)[i], batch.column(4)[i], batch.column(5)[i])
+                mark, of = batch.column(2)[i].as_py(), batch.column(6)[i].as_py()
+                root = parse(batch.column(0)[i].as_py())
+                gone, shown = _left_out(root), {}
+                for node, a, k, spot in w.read(root)[0]:
+                    chars = 0 if id(node) in gone else _prose(node)
+                    for key in (k, 0):
+                        shown[spot, a, key] = shown.get((spot, a, key), 0) + chars
+                out += [(of, mark, *x, n) for x, n in shown.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 6)], ["of", "page", "spot", "place", "key", "chars"])
+
+    given = _with_wrappers(rows.where(F.length("html") > 0), wrappers.withColumns({"template": F.array().cast("array<long>"), "amounts": F.array().cast(AMOUNTS)}), "inner")
+    shown = given.select("html", "__of", F.xxhash64("html"), "wrapper", "template", "amounts", F.xxhash64("__of")).mapInArrow(run, "of long, page long, spot long, place long, key long, chars long")
+    once = shown.groupBy("of", "spot", "place", "key", "page").agg(F.max("chars").alias("chars"))
+    # a text of one block can stand at several wrapper nodes: its pages are counted at each
+    counts = once.groupBy("of", "spot", "place", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).where(f"key = 0 or n > {SUPPORT}")
+    counts = materialize(counts, "page-counts")
+    have = counts.where("key = 0").groupBy("of", "place").agg(F.max("n").alias("whole"))
     chosen = counts.where("key <> 0").join(have, ["of", "place"]).where(F.col("n") >= SHARE * F.col("whole") + F.sqrt(SHARE * (1 - SHARE) * F.col("whole")))
-    of_host = chosen.groupBy("of").agg(F.collect_list("key").alias("keys"))
-    out = wrappers.join(of_host, F.xxhash64("host") == F.col("of"), "left")
-    return materialize(out.select("host", "wrapper", F.coalesce("keys", F.array().cast("array<long>")).alias("template")), "templates")
+    of_host = chosen.groupBy("of").agg(F.collect_set("key").alias("keys"))
+    varying = counts.where("key = 0").select("of", "spot", "chars").unionByName(chosen.select("of", "spot", F.negate("chars").alias("chars"))).groupBy("of", "spot").agg(F.sum("chars").alias("chars"))
+    amounts = varying.where("chars > 0").groupBy("of").agg(F.collect_list(F.struct("spot", "chars")).alias("amounts")).withColumnRenamed("of", "of_too")
+    out = wrappers.join(of_host, F.xxhash64("host") == F.col("of"), "left").join(amounts, F.xxhash64("host") == F.col("of_too"), "left")
+    return materialize(out.select("host", "wrapper", F.coalesce("keys", F.array().cast("array<long>")).alias("template"), F.coalesce("amounts", F.array().cast(AMOUNTS)).alias("amounts")), "templates")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", references: int = REFERENCES) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages.
 
     Null or empty html, and html without text, give an empty text. Pages without a host, or of a host with a single distinct
-    page, are extracted without a wrapper; a host of up to SUPPORT distinct pages has no template texts. Repeated rows give
-    repeated rows. An empty table gives an empty result.
+    page, are extracted without a wrapper; a host of up to SUPPORT distinct pages has no template texts. If more than half of a
+    page's content is template, the page is a copy and keeps all of it. Repeated rows give repeated rows; other columns aren't
+    read, whatever they are called. An empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("__of"))
     templates = template_keys(rows, induce_wrappers(pages, url_col, html_col, references))
@@ -524,11 +683,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         known = _Known()
         for batch in batches:
             hosts = batch.column(3).to_pylist()
-            text = [page_text(batch.column(2)[i].as_py(), *known.get(h, batch.column(4)[i], batch.column(5)[i])) for i, h in enumerate(hosts)]
+            text = [page_text(batch.column(2)[i].as_py(), *known.get(h, batch.column(4)[i], batch.column(5)[i], batch.column(6)[i])) for i, h in enumerate(hosts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    given = _with_wrappers(rows, templates, "left").select("page_id", "url", "html", "__of", "wrapper", "template")
+    given = _with_wrappers(rows, templates, "left").select("page_id", "url", "html", "__of", "wrapper", "template", "amounts")
     return given.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
