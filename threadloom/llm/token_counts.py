@@ -3,7 +3,7 @@
 Tier one is a compact table of the lengths (in tokens) of the corpus's frequent pre-tokens, at most `hot_size` of them and so of
 bounded size, which every worker gets by broadcast. Tier two is the worker's own bounded cache, filled by encoding what tier one
 misses. No pre-token is a row of a shuffle: to find the frequent ones each task sums up its own texts in one binary summary of at
-most `hot_size` pre-tokens, and summaries meet in a tree of FAN_IN. The tables decide speed only; counts are the tokenizer's
+most `hot_size` pre-tokens, and summaries meet in a tree. The tables decide speed only; counts are the tokenizer's
 for any table.
 """
 
@@ -25,7 +25,8 @@ from threadloom.llm.common import table
 from threadloom.llm.wordcodec import LONG, WordCodec, codec, text_bytes, tokenizer_path
 
 HOT_SIZE = 32_768
-FAN_IN = 16
+#: How many tasks' summaries meet, level by level.
+TREE = (32, 1024, 1 << 40)
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 SUMMARY = "task long, summary binary"
@@ -46,7 +47,7 @@ def _merged(summaries: list[bytes]) -> Counter:
 
 
 def frequent_pieces(docs: DataFrame, text: str, path: str, hot_size: int = HOT_SIZE) -> list[bytes]:
-    """The most frequent pre-tokens over all texts, most frequent first: at most hot_size byte strings of at most LONG bytes reach the driver, in at most FAN_IN summaries.
+    """The most frequent pre-tokens over all texts, most frequent first: at most hot_size byte strings of at most LONG bytes reach the driver, in one summary.
 
     A task keeps up to 12 hot_size candidates; what it cuts off when it has more, or a summary leaves out, only makes the table less than the best.
     """
@@ -68,12 +69,11 @@ def frequent_pieces(docs: DataFrame, text: str, path: str, hot_size: int = HOT_S
     def merge(rows: pa.Table) -> pa.Table:
         return pa.table({"task": rows.column("task").slice(0, 1), "summary": pa.array([_packed(_merged(rows.column("summary").to_pylist()), hot_size)], pa.binary())})
 
-    read = docs.select(F.col(text).alias("text"))
-    rows, parts = read.mapInArrow(summary, SUMMARY), read.rdd.getNumPartitions()
-    while parts > FAN_IN:
-        # a group is FAN_IN neighbouring tasks; the merged row takes the group's number
-        rows = rows.select((F.col("task") / FAN_IN).cast("long").alias("task"), "summary").groupBy("task").applyInArrow(merge, SUMMARY)
-        parts = -(-parts // FAN_IN)
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(summary, SUMMARY)
+    for tasks in TREE:
+        # a group is of neighbouring tasks; the last takes what is left
+        rows = rows.select((F.col("task") / tasks).cast("long").alias("task"), "summary").groupBy("task").applyInArrow(merge, SUMMARY)
+        rows = rows.withColumn("task", F.col("task") * tasks)
     top = _merged([r.summary for r in rows.collect()])
     return [k for k, _ in sorted(top.items(), key=lambda x: (-x[1], x[0]))[:hot_size]]
 
