@@ -6,15 +6,19 @@ needed to bound scores: its pivot, its radius, how many vectors it holds. For a
     q.p - |q| r  <=  q.x  <=  q.p + |q| r     for each x of the cell.
 
 Lower bounds with counts give each group of queries a score that its k-th best reaches for certain; a cell whose upper bound
-stays below it for every query of the group isn't sent there. A first pass over each query's own cell gives real scores and a
-sharper bound; the second pass sends the other cells that are still needed, in blocks of bounded size, to the groups that need
-them. Blocks are solved locally and give at most k rows a query, none below what the first pass secured.
+stays below it for every query of the group isn't visited. A first pass over each query's own cell gives real scores and a
+sharper bound; the second pass visits the other cells that are still needed. Data lie in blocks of bounded size, and what is
+joined is a group and a block, each by a key of its own, so that neither a cell nor a query with many of all rows is a hot key.
+Blocks are solved locally and give at most k rows a query, none below what the first pass secured.
 
-All arithmetic on components is in integers; bounds are in floating point with slack.
+The number of pivots grows with the root of the data. Scores are exact: products are made in floating point only where all of
+them are integers below 2^53, and in 64-bit integers else; bounds are in floating point with slack.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,9 +29,12 @@ from threadloom.llm.common import materialize, shuffle_partitions, table
 
 SCALE = 64
 TOP = 20
-PIVOTS = 48
+#: Pivots: half the root of the number of vectors, within these bounds (the upper one is for what the driver and a task hold).
+PIVOTS = 48, 16_384
 BLOCK = 4096
 QUERY_BLOCK = 1024
+#: Shares that the groups of a cell are dealt to where they meet its list of blocks.
+SHARES = 16
 #: Relative slack of bounds in floating point.
 SLACK = 1e-12
 
@@ -126,13 +133,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int, least: float) -
     return ok
 
 
-def top_k(queries: DataFrame, data: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = TOP, pivots: int = PIVOTS, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
+def top_k(queries: DataFrame, data: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = TOP, pivots: int | None = None, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products over data, ties to the smaller id.
 
-    Vectors that are null, or hold nulls or non-finite components, take no part on either side, nor do rows without an id or
-    whose vector isn't as long as most. A query's own id is no candidate. Rows of data that repeat an id and vector count as one
-    candidate. Fewer than k candidates give fewer rows; an empty side gives none. Pivots are `pivots` data vectors of least
-    hashed id; they are all that is collected, besides a summary of each cell.
+    Vectors that are null or empty, or hold nulls or non-finite components, take no part on either side, nor do rows without an
+    id. Vectors are compared with those of their own length. A query's own id is no candidate; each row of data is a candidate of
+    its own, repeated rows too, while rows of queries that repeat are one query. Fewer than k candidates give fewer rows; an
+    empty side gives none. Scores that could exceed 64 bits raise OverflowError. Only id_col and vec_col are read, whatever other
+    columns are called. Pivots are vectors of least hashed id; they are all that is collected, besides a summary of each cell.
     """
     spark = data.sparkSession
 
@@ -141,18 +149,28 @@ def top_k(queries: DataFrame, data: DataFrame, id_col: str = "vec_id", vec_col:
         return v.where("id is not null and v is not null and size(v) > 0")
 
     x, q = clean(data), clean(queries).distinct()
-    sizes = x.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim = sizes.d
-    x, q = x.where(F.size("v") == dim), q.where(F.size("v") == dim)
+    out = None
+    for r in x.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():
+        least, most = PIVOTS
+        n = pivots or min(most, max(least, math.isqrt(r["count"]) // 2))
+        part = _top_k(q.where(F.size("v") == r.d), x.where(F.size("v") == r.d), r.d, k, n, block)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], RESULT) if out is None else out
+
+
+RESULT = "query_id long, rank int, vec_id long, score long"
+
+
+def _top_k(q: DataFrame, x: DataFrame, dim: int, k: int, pivots: int, block: int) -> DataFrame:
+    """top_k() for vectors (id, v) of one length."""
     centers = np.array([r.v for r in x.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()], np.int64)
     blocks = materialize(_blocks(x, centers, dim, block), "data-blocks")
-    groups = materialize(_blocks(q, centers, dim, QUERY_BLOCK), "query-blocks")
+    groups = materialize(_blocks(q, centers, dim, QUERY_BLOCK), "query-blocks").withColumnRenamed("block", "grp")
     cells = blocks.groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).collect()
     cell_ids = np.array([c.cell for c in cells], np.int64)
     radius, held = np.array([c.radius for c in cells]), np.array([c.n for c in cells])
     middle = centers[cell_ids].astype(np.float64)
+    listed = blocks.select("cell", "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
 
     def solve(with_bound: bool):
         def run(batches):
@@ -170,16 +188,22 @@ def top_k(queries: DataFrame, data: DataFrame, id_col: str = "vec_id", vec_col:
 
         return run
 
-    pairs = "query_id long, vec_id long, score long"
-    mine = groups.select(F.col("cell"), F.col("block").alias("grp"), F.col("ids").alias("qi"), F.col("vectors").alias("qv"))
-    theirs = blocks.select("cell", F.col("ids").alias("xi"), F.col("vectors").alias("xv"))
+    found = "query_id long, vec_id long, score long"
+    queried = groups.select("grp", F.col("ids").alias("qi"), F.col("vectors").alias("qv"))
+    theirs = blocks.select("block", F.col("ids").alias("xi"), F.col("vectors").alias("xv"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def met(visits: DataFrame, by: DataFrame) -> DataFrame:
+        """Groups (with the columns of `by`) and the blocks of the cells that they visit (grp, cell)."""
+        pairs = visits.withColumn("share", F.pmod(F.xxhash64("grp"), F.lit(SHARES)).cast("int")).join(listed, ["cell", "share"]).select("grp", "block")
+        return pairs.join(by, "grp").join(theirs, "block")
+
     # first pass: each query against its own cell
-    home = mine.join(theirs, "cell").select("qi", "qv", "xi", "xv").mapInArrow(solve(False), pairs).distinct()
+    home = met(groups.select("grp", "cell"), queried).select("qi", "qv", "xi", "xv").mapInArrow(solve(False), found)
     home = materialize(home.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "score"), "home")
     secured = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
     # the bounds of a group's queries, in the order of its ids
-    each = groups.select(F.col("block").alias("grp"), F.col("cell"), "ids", "vectors")
+    each = groups.select("grp", "cell", "ids", "vectors")
 
     def ids_of(batches):
         for batch in batches:
@@ -205,12 +229,14 @@ def top_k(queries: DataFrame, data: DataFrame, id_col: str = "vec_id", vec_col:
                 bound = np.maximum(sure, np.array([-np.inf if v is None else v for v in least], np.float64))
                 bound = np.where(np.isfinite(bound), bound - SLACK * np.abs(bound), bound)
                 need = cell_ids[(high >= bound[:, None]).any(0) & (cell_ids != cell)]
-                raw = bound.astype("<f8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(need, pa.int64()), pa.array([ids] * len(need), pa.binary()), pa.array([vectors] * len(need), pa.binary()), pa.array([raw] * len(need), pa.binary())], ["cell", "qi", "qv", "least"])
-
-    routed = each.join(sharp, "grp").select("grp", "cell", "ids", "vectors", "least").mapInArrow(route, "cell long, qi binary, qv binary, least binary")
-    away = routed.join(theirs, "cell").select("qi", "qv", "xi", "xv", "least").mapInArrow(solve(True), pairs)
-    every = home.unionByName(away).distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+                # the bounds go with the first row only
+                raw = [bound.astype("<f8").tobytes(), *[None] * len(need)]
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(raw), pa.int64()), pa.array([None, *need.tolist()], pa.int64()), pa.array(raw, pa.binary())], ["grp", "cell", "least"])
+
+    routed = materialize(each.join(sharp, "grp").select("grp", "cell", "ids", "vectors", "least").mapInArrow(route, "grp long, cell long, least binary"), "routes")
+    bounded = queried.join(routed.where("least is not null").select("grp", "least"), "grp")
+    away = met(routed.where("cell is not null").select("grp", "cell"), bounded).select("qi", "qv", "xi", "xv", "least").mapInArrow(solve(True), found)
+    every = home.unionByName(away).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return every.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
