@@ -33,8 +33,8 @@ def test_lm(docs, texts, nothing):
 
 
 def test_lm_probabilities_sum_to_one():
-    weights = lm_scores.fit_weights([(1, 5, 20, 100), (1, lm_scores.FLOOR + 1, 30, 50), (3, 2, 10, 70)], 1000)
-    assert np.allclose(weights.sum(1), 1) and (weights > 0).all()
+    weights = lm_scores.fit_weights([(1, 100, 100 * 10**-0.5, 1.0), (1, 50, 0.0, 50 * 10**-3.0), (3, 70, 70 * 10**-0.2, 7.0)], 1000)
+    assert np.allclose(weights.sum(1), 1) and (weights[1:] > 0).all() and (weights[0, 1:] > 0).all() and weights[0, 0] == 0
     # where pairs predict well they weigh more
     assert weights[3, 0] > weights[1, 0]
 

@@ -4,10 +4,11 @@ The model mixes maximum-likelihood estimates of a word after its predecessor, of
 
     P(w | v) = l2[b] c(v, w) / c(v) + l1[b] c(w) / N + l0[b] / (V + 1)
 
-with b the bucket of the context's frequency c(v) (its binary logarithm, rounded down). The weights of each bucket come from
-expectation-maximisation on deleted counts: each training occurrence is held out in turn, taken off all counts, and predicted
-from the rest. Counts are exact and cover the whole training part; they are gathered and looked up by request and reply (see
-chunks.py). For EM the occurrences are summed up in a table of fixed size over (bucket, two rounded log probabilities).
+with b the bucket of the context's frequency c(v) (its binary logarithm, rounded down). Of a context that hasn't been seen there is
+no first estimate, so l2[0] is 0; each bucket's weights sum to 1. They come from expectation-maximisation on deleted counts: each
+training occurrence is held out in turn, taken off all counts, and predicted from the rest. Counts are exact and cover the whole
+training part; they are gathered and looked up by request and reply (see chunks.py). For EM the occurrences are summed up in a
+table of bounded size over (bucket, two log probabilities to a tenth), whose cells keep the means of their probabilities.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from threadloom.llm.common import table
 from threadloom.llm.ngram_join import MIX, _stir
 
 BUCKETS = 40
-STEPS = 10  # a log10 probability is rounded to a tenth for EM
-FLOOR = 12 * STEPS  # the least rounded log probability; one more stands for 0
+STEPS = 10  # cells are a tenth of a log10 probability wide
+FLOOR = 20 * STEPS  # the least cell; one more stands for 0
 ROUNDS = 100
 START = np.uint64(0x5354415254)
 END = np.uint64(0x454E44)
@@ -65,20 +66,32 @@ def _train_row(fold_of_test: int):
 
 
 def fit_weights(rows: list, v_size: int) -> np.ndarray:
-    """Weights (bucket, 3) of pair, word and uniform share by EM over rows (bucket, q2, q1, n) of rounded log probabilities."""
+    """Weights (bucket, 3) of pair, word and uniform share by EM over cells (bucket, n, sum of pair's probabilities, sum of word's).
+
+    A bucket without training occurrences has the weights of the next lower one that has some, or else of the next higher one.
+    """
     weights = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
+    weights[0] = [0.0, 0.8, 0.2]
     if not rows:
         return weights
-    b, q2, q1, n = (np.array(c, np.int64) for c in zip(*rows))
-    value = lambda q: np.where(q > FLOOR, 0.0, 10.0 ** (-q / STEPS))
-    p = np.stack([value(q2), value(q1), np.full(len(b), 1 / (v_size + 1))], 1)
+    b, n, p2, p1 = (np.array(c) for c in zip(*rows))
+    p = np.stack([p2 / n, p1 / n, np.full(len(b), 1 / (v_size + 1))], 1)
+    # half an occurrence each: no weight becomes 0, as unseen words still need one
+    half = np.full((BUCKETS, 3), 0.5)
+    half[0, 0] = 0
     for _ in range(ROUNDS):
         share = weights[b] * p
         share *= (n / share.sum(1))[:, None]
-        new = np.stack([np.bincount(b, share[:, k], BUCKETS) for k in range(3)], 1)
-        seen = new.sum(1) > 0
-        # half an occurrence each: no weight becomes 0, as unseen words still need one
-        weights[seen] = (new[seen] + 0.5) / (new[seen] + 0.5).sum(1, keepdims=True)
+        new = half + np.stack([np.bincount(b, share[:, k], BUCKETS) for k in range(3)], 1)
+        weights = new / new.sum(1, keepdims=True)
+    seen = np.unique(b)
+    above = seen[seen > 0]
+    for k in set(range(BUCKETS)) - set(seen.tolist()):
+        if k and len(above):
+            lower = above[above < k]
+            weights[k] = weights[lower[-1] if len(lower) else above[0]]
+        elif not k:
+            weights[k] = [0.0, *(weights[seen[0], 1:] / weights[seen[0], 1:].sum())]
     return weights
 
 
@@ -105,7 +118,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows whose crc32(id as text) mod 5 is test_fold are held out (a null id counts as empty text); the rest trains. Words are
     divided by ASCII white space, A-Z lower-cased; a null or empty text is the end alone. base_score is the sum of
     log10((c + 0.5) / (N + 0.5 (V + 1))), score the model's log10 probability. Repeated rows are counted and scored each. With
-    no training rows c and N are 0 and the uniform share is all there is. An empty table gives an empty result.
+    no training rows c and N are 0 and the uniform share is all there is. Only id_col and text_col are read, whatever other
+    columns are called. An empty table gives an empty result.
     """
     is_train = _train_row(test_fold)
     chunks = pack_chunks(docs, id_col, text_col)
@@ -126,21 +140,23 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _, train, _, word, context, pair = _counts(ids, texts, got, is_train)
         word, context, pair = word[train] - 1, context[train] - 1, pair[train] - 1
 
-        def rounded(p):
+        def cell(p):
             with np.errstate(divide="ignore"):
                 return np.where(p > 0, np.minimum(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEPS), FLOOR), FLOOR + 1).astype(np.int64)
 
-        q2, q1 = rounded(pair / np.maximum(context, 1)), rounded(word / max(n_all - 1, 1))
-        code, n = np.unique((bucket(context) * 1000 + q2) * 1000 + q1, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(code // 10**6), pa.array(code // 1000 % 1000), pa.array(code % 1000), pa.array(n.astype(np.int64))], ["b", "q2", "q1", "n"])
+        p2, p1 = pair / np.maximum(context, 1), word / max(n_all - 1, 1)
+        code, at = np.unique((bucket(context) * 1000 + cell(p2)) * 1000 + cell(p1), return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.bincount(at, minlength=len(code))), *(pa.array(np.bincount(at, p, len(code))) for p in (p2, p1))], ["code", "n", "p2", "p1"])
 
-    hist = with_totals(chunks, replies, histogram, "b long, q2 long, q1 long, n long").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n"))
-    weights = fit_weights([tuple(r) for r in hist.orderBy("b", "q2", "q1").collect()], v_size)
+    # a few thousand cells, whatever the corpus
+    hist = with_totals(chunks, replies, histogram, "code long, n long, p2 double, p1 double").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("n", "p2", "p1")))
+    weights = fit_weights([(r.code // 10**6, r.n, r.p2, r.p1) for r in hist.orderBy("code").collect()], v_size)
 
     def score(chunk, ids, texts, got):
         words, train, ends, word, context, pair = _counts(ids, texts, got, is_train)
         w = weights[bucket(context)]
-        p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n_all, 1) + w[:, 2] / (v_size + 1)
+        # without training rows the uniform share is all
+        p = (w if n_all else np.array([[0.0, 0.0, 1.0]]))[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n_all, 1) + w[:, 2] / (v_size + 1)
         base = np.log10((word + 0.5) / (n_all + 0.5 * (v_size + 1)))
         starts = np.concatenate([[0], ends[:-1]])
         add = lambda x: np.add.reduceat(x, starts)
