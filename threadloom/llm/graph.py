@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import materialize
 
 
+#: At most so many links are solved by one task (a few MB) instead of by further rounds.
+FEW = 16_384
+
+
 def _local(batches):
     """Union-find over a task's own links; each node but the least of its tree is linked to that one."""
     root: dict = {}
@@ -39,15 +43,15 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of links (a, b), comp the least node that links reach.
 
     Alternates large-star and small-star steps (Kiveris and others, 2014), each after a task-local union-find that shrinks its
-    links to stars, until the links stay as they are. Each round's links are written to the shared folder. An empty table of
-    links gives no rows; nulls aren't allowed. Sums of a node's neighbours are pre-aggregated; the joins on a hub's key are
-    plain shuffled joins, which adaptive execution splits.
+    links to stars, until the links stay as they are or are at most FEW. Each round's links are written to the shared folder. An
+    empty table of links gives no rows; nulls aren't allowed. Sums of a node's neighbours are pre-aggregated; the joins on a
+    hub's key are plain shuffled joins, which adaptive execution splits.
     """
     kind = links.schema["a"].dataType.simpleString()
     schema = f"a {kind}, b {kind}"
     stars = materialize(links.select("a", "b").mapInArrow(_local, schema).distinct(), "stars")
     sign = None
-    while True:
+    while stars.count() > FEW:
         # large star: larger neighbours go to the least of a node and its neighbours
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m"))
@@ -61,5 +65,7 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(now) == sign:
             break
         sign = tuple(now)
+    else:
+        stars = materialize(stars.coalesce(1).mapInArrow(_local, schema), "stars")
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)

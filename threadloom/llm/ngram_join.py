@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.chunks import pack_chunks, totals, with_totals
-from threadloom.llm.common import materialize, shuffle_partitions, table
+from threadloom.llm.common import drop, materialize, shuffle_partitions, table
 from threadloom.llm.graph import components
 
 WORDS = 4
@@ -92,7 +92,10 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent:
                 cols = [[] for _ in range(6)]
         yield _info(cols)
 
-    return materialize(with_totals(chunks, totals(chunks, request), use, INFO), "sets")
+    replies = totals(chunks, request)
+    sets = materialize(with_totals(chunks, replies, use, INFO), "sets")
+    drop(chunks, replies)
+    return sets
 
 
 def _info(cols):
@@ -173,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two rows are linked if 100 * |intersection| >= percent * |union| of their sets of k-word shingles (words: A-Z lower-cased,
     divided by ASCII white space). Rows without words, null texts included, have no shingles and are linked with nothing.
     component_id is the least id that links reach; null ids count as above all others. Repeated rows are linked with each
-    other. Only id_col and text_col are read. An empty table gives an empty result.
+    other. Only id_col and text_col are read, whatever other columns are called. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -214,7 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a class is a component of nodes; nodes without links are classes of their own
     classed = info.where("n > 0").join(comp, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("class"))
     classed = materialize(classed, "classes")
-    least = classed.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own, so that what follows is a plain join, whose large partitions can be split
+    least = materialize(classed.groupBy("class").agg(F.min("doc_id").alias("component_id")), "least")
     empty = info.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return classed.join(least, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
 
