@@ -84,13 +84,15 @@ def kept_lines(lines: Column, runs: Column) -> Column:
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with text_col cut down to the lines that stay, and two more columns, n_lines (before) and n_dropped, of type long.
 
-    A null text stays null where it loses nothing (it never does) and counts one line.
+    A null text stays null where it loses nothing (it never does) and counts one line. Columns of docs that are called n_lines or
+    n_dropped are replaced; names that begin with `__line_dedup_` are this function's own. Repeated rows lose the same lines. An
+    empty table gives an empty result.
     """
-    maps = drop_bitmaps(docs, id_col, text_col, min_chars, min_docs).withColumnsRenamed({"doc_id": "__id", "row_hash": "__row", "dropped_runs": "__runs"})
-    joined = docs.withColumn("__hash", F.xxhash64(text_col)).join(maps, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__row")), "left")
+    maps = drop_bitmaps(docs, id_col, text_col, min_chars, min_docs).withColumnsRenamed({"doc_id": "__line_dedup_id", "row_hash": "__line_dedup_row", "dropped_runs": "__line_dedup_runs"})
+    joined = docs.withColumn("__line_dedup_hash", F.xxhash64(text_col)).join(maps, F.col(id_col).eqNullSafe(F.col("__line_dedup_id")) & (F.col("__line_dedup_hash") == F.col("__line_dedup_row")), "left")
     lines = lines_of(F.col(text_col))
-    text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines(lines, F.col("__runs")), "\n"))
-    n_dropped = F.when(F.col("__runs").isNull(), F.lit(0)).otherwise(F.aggregate("__runs", F.lit(0), lambda a, r: a + r["n"])).cast("long")
+    text = F.when(F.col("__line_dedup_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines(lines, F.col("__line_dedup_runs")), "\n"))
+    n_dropped = F.when(F.col("__line_dedup_runs").isNull(), F.lit(0)).otherwise(F.aggregate("__line_dedup_runs", F.lit(0), lambda a, r: a + r["n"])).cast("long")
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")], F.size(lines).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
