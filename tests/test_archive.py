@@ -40,7 +40,7 @@ def test_parse_line():
     assert archive.parse_line("{") is False and archive.parse_line("3") is None
     assert archive.parse_line('{"content": "x", "message": {"content": null}}') is None
     assert archive.parse_line('{"content": "x"}') == ("unknown", "x", None)
-    assert archive.flatten([{"type": "tool_result", "content": [{"type": "text", "text": "deep"}]}], True) == "deep"
+    assert archive.flatten([{"type": "tool_result", "content": [{"type": "text", "text": "deep"}]}], True) == "[tool_result] deep"
 
 
 def table(spark, rows):

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 PNG = b"\x89PNG\r\n\x1a\n"
 BLANK_OVER = 1024
+#: How the text of a block begins that stands for an image.
+REMOVED = "[image removed:"
 
 
 def png_size(data: Column) -> Column:
@@ -32,7 +34,9 @@ def image_size(data: bytes) -> tuple[int, int] | None:
     at = 2
     while at + 9 <= len(data):
         if data[at] != 0xFF:
-            return None
+            # a stray byte: the next marker is looked for
+            at += 1
+            continue
         marker = data[at + 1]
         if marker == 0xFF:
             at += 1
@@ -64,6 +68,24 @@ def blocks_of(value):
                 todo.append(x)
 
 
+def removed_before(line: str) -> int:
+    """Blocks of a line, at any depth, that stand for images removed earlier."""
+    if REMOVED not in line:
+        return 0
+    try:
+        todo, n = [json.loads(line)], 0
+    except ValueError:
+        return 0
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            n += v.get("type") == "text" and isinstance(v.get("text"), str) and v["text"].startswith(REMOVED)
+            todo += v.values()
+        elif isinstance(v, list):
+            todo += v
+    return n
+
+
 def excess(width: int | None, height: int | None, size: int, max_dim: int, max_bytes: int) -> str | None:
     """Why an image is too large: dimension, byte_size or both."""
     wide = max(width or 0, height or 0) > max_dim
@@ -87,7 +109,7 @@ def scrub_line(line: str, max_dim: int, max_bytes: int) -> tuple[str, list[tuple
         why = excess(*size, len(data), max_dim, max_bytes)
         if why:
             shape = f"{size[0]}x{size[1]}" if size[0] else "unknown size"
-            holder[key] = {"type": "text", "text": f"[image removed: {shape}, {len(data)} bytes, {why}]"}
+            holder[key] = {"type": "text", "text": f"{REMOVED} {shape}, {len(data)} bytes, {why}]"}
             found.append((*size, len(data), why))
     if not found:
         return line, []

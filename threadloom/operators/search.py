@@ -117,8 +117,8 @@ def search(idx: Index, messages: DataFrame, sessions: DataFrame, query: str, *,
     return Response(query, matched, len(got), threshold, got, used_vectors, reason)
 
 
-def search_batch(idx: Index, queries: DataFrame, top: int = 10) -> DataFrame:
-    """(query_id, msg_id, score, rank): each query's words (column `text`), any of them, ranked by BM25 rounded to 6 places, then id, so that copies' ranks don't depend on the order of summation. One join for all queries."""
+def search_batch(idx: Index, queries: DataFrame, top: int = 10, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, msg_id, score, rank): each query's words (column `text`), any of them, ranked by BM25 rounded to 6 places, then id, so that copies' ranks don't depend on the order of summation. One join for all queries; `among` (msg_id) are the messages that are ranked, all if not given."""
     from threadloom.functions.stems import stemmed_tokens
     from threadloom.functions.words import native_tokens
     from threadloom.operators.fts import B, K1, RARE_IDF, corpus_stats
@@ -128,7 +128,8 @@ def search_batch(idx: Index, queries: DataFrame, top: int = 10) -> DataFrame:
     df = idx.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     idf = F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weight = F.when(idf > 0, idf).otherwise(RARE_IDF) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") * F.col("n_docs") / F.col("total_tokens")))
-    hits = idx.postings.select("term", "msg_id", "tf").join(q, "term").join(df, "term").join(idx.doc_stats, "msg_id").crossJoin(F.broadcast(corpus_stats(idx)))
+    postings = idx.postings.select("term", "msg_id", "tf")
+    hits = (postings if among is None else postings.join(among, "msg_id", "left_semi")).join(q, "term").join(df, "term").join(idx.doc_stats, "msg_id").crossJoin(F.broadcast(corpus_stats(idx)))
     scores = hits.groupBy("query_id", "msg_id").agg(F.sum(weight).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "msg_id")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)

@@ -75,7 +75,7 @@ class Archive:
     # commands
 
     def index(self, root: str, project: str | None = None, rebuild: bool = False, tool_blocks: bool = False, sweep: bool = False, now: str | None = None) -> dict:
-        """Bring the archive up to date with the transcripts below root; counts of what happened. Files whose time is known aren't read into the result."""
+        """Bring the archive up to date with the transcripts below root; counts of what happened. Files whose time is known are listed but not opened."""
         sessions, messages = self.sessions, self.messages
         if rebuild:
             gone = sessions if project is None else sessions.where(F.col("project_slug") == project)
@@ -84,10 +84,10 @@ class Archive:
         listing = transcripts.list_files(self.spark, root, project)
         plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
         listing = listing.withColumn("file_path", plain("file_path"))
-        changed = ingest.changed_files(listing, sessions).select("file_path")
-        new_sessions, new_messages = transcripts.read_archive(self.spark, root, project, tool_blocks, now or datetime.now(UTC).isoformat())
-        new_sessions = new_sessions.withColumn("file_path", plain("file_path")).join(changed, "file_path", "left_semi").cache()
-        new_messages = new_messages.join(new_sessions.select("session_id"), "session_id", "left_semi")
+        # names of files that have changed, as Spark's own listing holds them: only these are opened
+        changed = [r.file_path for r in ingest.changed_files(listing, sessions).select("file_path").collect()]
+        new_sessions, new_messages = transcripts.read_archive(self.spark, root, project, tool_blocks, now or datetime.now(UTC).isoformat(), changed)
+        new_sessions = new_sessions.withColumn("file_path", plain("file_path")).cache()
         after, _ = ingest.upsert_messages(messages, new_messages)
         known = sessions.select("session_id")
         report = {"new": new_sessions.join(known, "session_id", "left_anti").count(), "updated": new_sessions.join(known, "session_id", "left_semi").count(), "malformed": new_sessions.agg(F.coalesce(F.sum("malformed"), F.lit(0))).first()[0]}
@@ -134,6 +134,23 @@ class Archive:
     def status(self) -> dict:
         return archive_views.status(self.sessions, self.messages, self.vectors).first().asDict()
 
+    def has_sessions(self) -> bool:
+        """Whether anything has been indexed; at most one row is read."""
+        return not self.sessions.limit(1).isEmpty()
+
+    def capabilities(self) -> dict:
+        """What search can do here: whether the text index is built and covers all messages, and whether there are vectors."""
+        idx, messages = self.text_index.doc_stats, self.messages
+        built = "postings" in self._current()[1]
+        return {"text_search": True, "index_built": built, "index_complete": built and messages.join(idx, "msg_id", "left_anti").isEmpty(), "vectors": not self.vectors.limit(1).isEmpty()}
+
+    def scrub_images(self, root: str, project: str | None = None, session: str | None = None, **options) -> dict:
+        """Oversized images out of the transcripts below root; see operators.scrub.scrub_files."""
+        from threadloom.operators.scrub import scrub_files, scrub_report
+        from threadloom.sources.projects import session_files
+
+        return scrub_report(scrub_files(session_files(self.spark, root, project, session), **options))
+
     def list(self, limit: int = 20, project: str | None = None) -> DataFrame:
         return archive_views.list_sessions(self.sessions, self.messages, limit, project)
 

@@ -1,7 +1,7 @@
 """JSONL transcripts: <root>/<project>/**/*.jsonl, one JSON object a line.
 
-Files are listed and read by Spark, so any store that it can read will do. Lines are parsed natively into VARIANT, as `content`
-is text or an array of blocks; only blocks nested in results of tools need Python.
+Files are listed and read by Spark, so any store that it can read will do. Lines are parsed in Arrow batches by Python's JSON
+reader, as `content` is text or an array of blocks that nest to any depth.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ def list_files(spark: SparkSession, root: str, project: str | None = None) -> Da
     return files.select(F.col("path").alias("file_path"), (F.unix_micros("modificationTime") / 1e6).alias("file_mtime"))
 
 
-def read_lines(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
-    """(project_slug, session_id, file_path, file_mtime, pos, line) of all lines that aren't blank; files are read whole, as order within them matters."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(f"{root}/{project}" if project else root, wholetext=True)
+def read_lines(spark: SparkSession, root: str, project: str | None = None, only: list[str] | None = None) -> DataFrame:
+    """(project_slug, session_id, file_path, file_mtime, pos, line) of all lines that aren't blank, or of the files `only`; files are read whole, as order within them matters."""
+    if only == []:
+        return spark.createDataFrame([], "project_slug string, session_id string, file_path string, file_mtime double, pos int, line string")
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(only or (f"{root}/{project}" if project else root), wholetext=True)
     base = root.rstrip("/").removeprefix("file://")
     rows = raw.select(F.col("_metadata.file_path").alias("file_path"), (F.unix_micros("_metadata.file_modification_time") / 1e6).alias("file_mtime"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "line"))
     relative = F.substring_index(F.col("file_path"), base + "/", -1)
@@ -35,22 +37,25 @@ def read_lines(spark: SparkSession, root: str, project: str | None = None) -> Da
 
 
 def flatten(content, tool_blocks: bool = False) -> str:
-    """Text of a content: itself, or that of its blocks, line by line; blocks of tools only on demand, results of tools at any depth."""
+    """Text of a content: itself, or that of its blocks, line by line; blocks of tools only on demand, results of tools at any depth. What isn't a block says nothing."""
     if isinstance(content, str):
         return content
     if not isinstance(content, list):
         return "" if content is None else str(content)
-    out = []
-    for b in content:
-        if isinstance(b, str):
-            out.append(b)
-        elif isinstance(b, dict) and b.get("type") == "text":
-            out.append(b.get("text") or "")
-        elif tool_blocks and isinstance(b, dict) and b.get("type") == "tool_use":
-            out.append(f"[tool_use: {b.get('name')}] {json.dumps(b.get('input') or {}, ensure_ascii=False)}")
-        elif tool_blocks and isinstance(b, dict) and b.get("type") == "tool_result":
-            out.append(flatten(b.get("content"), True))
-    return "\n".join(x for x in out if x)
+    return "\n".join(x for x in (_block_text(b, tool_blocks) for b in content if isinstance(b, dict)) if x is not None)
+
+
+def _block_text(block: dict, tool_blocks: bool) -> str | None:
+    """A block's text; None if it has none to show."""
+    kind, inside = block.get("type"), block.get("content")
+    if kind == "text":
+        text = block.get("text")
+        return text if isinstance(text, str) and text else None
+    if kind == "tool_use" and tool_blocks:
+        return f"[tool_use: {block.get('name', '')}] {json.dumps(block.get('input', {}))}"
+    if kind == "tool_result" and tool_blocks and isinstance(inside, (str, list)):
+        return f"[tool_result] {flatten(inside, True)}"
+    return None
 
 
 def parse_line(line: str, tool_blocks: bool = False) -> tuple[str, str, str | None] | None | bool:
@@ -80,9 +85,9 @@ def parse_lines(lines: DataFrame, tool_blocks: bool = False) -> DataFrame:
     return lines.withColumn("m", parsed("line")).select("*", "m.*").drop("m", "line")
 
 
-def read_archive(spark: SparkSession, root: str, project: str | None = None, tool_blocks: bool = False, now: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_archive(spark: SparkSession, root: str, project: str | None = None, tool_blocks: bool = False, now: str | None = None, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(sessions, messages) of the transcripts, messages with msg_id still null. A session's times are its first and last, in the file's order, of messages that have one."""
-    rows = parse_lines(read_lines(spark, root, project), tool_blocks)
+    rows = parse_lines(read_lines(spark, root, project, only), tool_blocks)
     some = rows.where("content is not null")
     order = Window.partitionBy("session_id", "file_path").orderBy("pos")
     messages = some.select(F.lit(None).cast("long").alias("msg_id"), "session_id", "role", "content", (F.row_number().over(order) - 1).cast("int").alias("turn_index"), "timestamp", content_hash(F.col("content")).alias("content_hash"), kind_of(F.col("content"), F.col("role")).alias("content_kind"))
