@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialize, shuffle_partitions
+from threadloom.llm.common import materialize, shuffle_partitions, trim
 
 CHUNK_CHARS = 4 << 20
 REPLY = "chunk long, kind int, range int, counts binary, n_keys long, n_total long"
@@ -48,6 +48,7 @@ def pack_chunks(docs: DataFrame, id_col: str, text_col: str, chars: int = CHUNK_
     """(chunk, payload): all rows of docs, in rows of about `chars` characters, written to the shared folder. A longer document is a chunk by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]):
+        trim()
         part, k = TaskContext.get().partitionId(), 0
         held, size = [], 0
 
@@ -93,9 +94,11 @@ def totals(chunks: DataFrame, request: Callable[[list, list[str]], list[tuple[in
 
     request(ids, texts) gives (kind, sorted distinct uint64 keys, counts) of a chunk. Keys with count 0 are asked for without being counted.
     """
-    ranges = shuffle_partitions(chunks.sparkSession)
+    # a task sorts one range at a time
+    ranges = 2 * shuffle_partitions(chunks.sparkSession)
 
     def ask(batches):
+        trim()
         for batch in batches:
             for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
@@ -111,6 +114,7 @@ def totals(chunks: DataFrame, request: Callable[[list, list[str]], list[tuple[in
     def add(table: pa.Table) -> pa.Table:
         keys = [unzip_sorted(x.as_py()) for x in table.column("keys")]
         counts = [unzip_ints(x.as_py()) for x in table.column("counts")]
+        trim()
         every, where = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(where, np.concatenate(counts).astype(np.float64), len(every)).astype(np.uint64)
         ends = np.cumsum([len(k) for k in keys])
@@ -126,6 +130,7 @@ def with_totals(chunks: DataFrame, replies: DataFrame, use: Callable, schema: st
     """use(chunk, ids, texts, {kind: totals of the chunk's sorted distinct keys}) for each chunk; it yields record batches of the schema."""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         payload, parts = None, {}
         for k, r, data in zip(table.column("kind").to_pylist(), table.column("range").to_pylist(), table.column("data")):
             if k < 0:

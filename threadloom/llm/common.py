@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -17,6 +18,22 @@ SPACE = r"[\x20\x09-\x0D]"
 _own_shared: str | None = None
 
 
+#: Caches of this Python worker that are worth keeping from task to task of one operator, but not into the next one's.
+CACHES: list[dict] = []
+
+
+def trim(keep: bool = False) -> None:
+    """Give the memory of earlier tasks in this worker back to the system; `keep` leaves its caches."""
+    if not keep:
+        for cache in CACHES:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import table
+from threadloom.llm.common import table, trim
 from threadloom.llm.wordcodec import text_bytes
 
 TILE = 24
@@ -205,6 +205,7 @@ def fit_space(docs: DataFrame, items: Items, rank: int = RANK) -> Space:
     shared = spark.sparkContext.broadcast(names)
 
     def frequencies(batches):
+        trim()
         df, n = np.zeros(n_terms, np.int64), 0
         for batch in batches:
             for _, data, ends in text_bytes(batch.column(0)):
@@ -224,6 +225,7 @@ def fit_space(docs: DataFrame, items: Items, rank: int = RANK) -> Space:
     given = spark.sparkContext.broadcast((names, weights, omega))
 
     def sketch(batches):
+        trim()
         names, weights, omega = given.value
         total = np.zeros(omega.shape)
         for batch in batches:
@@ -318,6 +320,7 @@ def _search(rows: DataFrame, items: Items, rank: int, cosine: float, cover: floa
     given = rows.sparkSession.sparkContext.broadcast((items, space))
 
     def run(batches):
+        trim()
         items, space = given.value
         n_terms, names = len(items.terms), pa.array(list(items.terms), pa.binary())
         latent = _unit(space.vectors(*_item_rows(items), len(items.coded))).T.copy()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.chunks import pack_chunks, totals, with_totals
-from threadloom.llm.common import drop, materialize, shuffle_partitions, table
+from threadloom.llm.common import drop, materialize, shuffle_partitions, table, trim
 from threadloom.llm.graph import components
 
 WORDS = 4
@@ -133,6 +133,7 @@ def _neighbours(batches):
 
 def _verifier(percent: int):
     def verify(batches):
+        trim()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import fold, table, text_groups
+from threadloom.llm.common import fold, table, text_groups, trim
 
 WINDOW = 400
 MAX_TRAIN = 6000
@@ -170,6 +170,7 @@ def score_quality(docs: DataFrame, model: AttentionBags, id_col: str = "doc_id",
     names = [*keep, "score"]
 
     def run(batches):
+        trim()
         for batch in batches:
             scores: list[np.ndarray] = []
             for _, texts in text_groups(batch, "__text"):

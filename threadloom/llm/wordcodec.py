@@ -18,6 +18,8 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
+from threadloom.llm.common import CACHES
+
 #: Python splits at these four controls, the tokenizers' patterns don't.
 ODD = re.compile("[\x1c-\x1f]")
 CHUNK = re.compile(r"\s*\S+|\s+")
@@ -31,6 +33,7 @@ BYTE_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \t\n\
 WORD_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ \t\n\r{_L}{_N}]+")
 LETTER, DIGIT, MARK, BLANK, ODD_SPACE, OTHER, LEAD = range(7)
 _codecs: dict = {}
+CACHES.append(_codecs)
 
 
 def _byte_chars() -> dict[int, int]:
