@@ -78,42 +78,50 @@ def search(idx: Index, messages: DataFrame, sessions: DataFrame, query: str, *,
     if extract_keywords:
         asked = any_of(keywords(query))
     semantic = embedder is not None and vectors is not None
-    rows, error, got, matched = None, None, [], 0
-    for attempt in dict.fromkeys((asked, sanitized(asked))):
-        if not attempt.strip():
-            continue
-        try:
-            found = search_index(idx, attempt)
-        except QueryError as e:
-            error = e
-            continue
-        rows = scoped(found, messages, sessions, since_days(days, now), project, kinds).orderBy(F.desc("score"), "msg_id")
-        used = attempt
-        if semantic:
-            rows = rows.limit(max(limit, pool_size))
-        rows = ranked(rows).where(F.col("score") >= threshold)
-        matched = rows.count()
-        if matched:
-            break
-    if rows is None:
-        raise QueryError(f"no searchable words in {query!r}" if error is None else str(error))
-    reason, used_vectors = None, False
-    order = "bm25_rank"
-    if semantic and matched:
-        try:
-            vector = embedder.embed(asked)
-            if vectors.join(rows.select("msg_id"), "msg_id", "left_semi").isEmpty():
-                reason = "no vectors for the results"
+    rows, error, used, got, matched, held = None, None, asked, [], 0, []
+    best_first = (F.desc("score"), "msg_id")
+    try:
+        for attempt in dict.fromkeys((asked, sanitized(asked))):
+            if not attempt.strip():
+                continue
+            try:
+                found = search_index(idx, attempt).persist()
+            except QueryError as e:
+                error = e
+                continue
+            held.append(found)
+            rows, used = scoped(found, messages, sessions, since_days(days, now), project, kinds), attempt
+            # ranks are given to a bounded number of rows; whatever else matched is only counted
+            if semantic:
+                rows = ranked(rows.orderBy(*best_first).limit(max(limit, pool_size))).where(F.col("score") >= threshold)
+                matched = rows.count()
             else:
-                rows, order, used_vectors = rerank(rows, vectors, vector, boost and project is None), "semantic_rank", True
-        except Exception as e:  # an embedding service may fail in any way; the ranking by words stands
-            reason = f"embedding failed: {e}"
-    if matched:
-        shown = rows.orderBy(order).limit(limit)
-        shown = shown.withColumn("snippet", snippets(F.col("content"), used, idx.stemmed)).withColumn("content_preview", preview(F.col("content"))).withColumn("score", F.round("score", 4))
-        if not used_vectors:
-            shown = shown.withColumn("bm25_rank", F.lit(None).cast("int")).withColumn("semantic_rank", F.lit(None).cast("int"))
-        got = [r.asDict() for r in shown.select(*RESULT).collect()]
+                rows = rows.where(F.col("score") >= threshold)
+                matched = rows.count()
+                rows = ranked(rows.orderBy(*best_first).limit(limit))
+            if matched:
+                break
+        if rows is None:
+            raise QueryError(f"no searchable words in {query!r}" if error is None else str(error))
+        reason, used_vectors, order = None, False, "bm25_rank"
+        if semantic and matched:
+            try:
+                vector = embedder.embed(asked)
+                if vectors.join(rows.select("msg_id"), "msg_id", "left_semi").isEmpty():
+                    reason = "no vectors for the results"
+                else:
+                    rows, order, used_vectors = rerank(rows, vectors, vector, boost and project is None), "semantic_rank", True
+            except Exception as e:  # an embedding service may fail in any way; the ranking by words stands
+                reason = f"embedding failed: {e}"
+        if matched:
+            shown = rows.orderBy(order).limit(limit)
+            shown = shown.withColumn("snippet", snippets(F.col("content"), used, idx.stemmed)).withColumn("content_preview", preview(F.col("content"))).withColumn("score", F.round("score", 4))
+            if not used_vectors:
+                shown = shown.withColumn("bm25_rank", F.lit(None).cast("int")).withColumn("semantic_rank", F.lit(None).cast("int"))
+            got = [r.asDict() for r in shown.select(*RESULT).collect()]
+    finally:
+        for found in held:
+            found.unpersist()
     return Response(query, matched, len(got), threshold, got, used_vectors, reason)
 
 

@@ -43,19 +43,21 @@ class Archive:
         where = self._current()[1].get(name)
         return self.spark.read.parquet(where) if where else self.spark.createDataFrame([], EMPTY[name])
 
-    def _commit(self, **tables: DataFrame) -> None:
+    def _write(self, name: str, df: DataFrame) -> str:
+        """A new table's place; no reader sees it before an entry names it."""
+        where = f"{self.path}/data/{name}-{uuid.uuid4().hex}"
+        # postings sorted by term: a query's terms are in few row groups
+        (df.sortWithinPartitions("term") if name == "postings" else df).write.parquet(where)
+        return where
+
+    def _enter(self, places: dict[str, str]) -> None:
         number, _ = self._current()
-        rows = []
-        for name, df in tables.items():
-            where = f"{self.path}/data/{name}-{uuid.uuid4().hex}"
-            w = df.write
-            if name == "postings":
-                # sorted by term: a query's terms are in few row groups
-                w = df.sortWithinPartitions("term").write
-            w.parquet(where)
-            rows.append((number + 1, name, where))
+        rows = [(number + 1, name, where) for name, where in places.items()]
         self.spark.createDataFrame(rows, "number long, name string, location string").coalesce(1).write.json(f"{self.path}/catalog/{number + 1:09d}")
 
+    def _commit(self, **tables: DataFrame) -> None:
+        self._enter({name: self._write(name, df) for name, df in tables.items()})
+
     @property
     def sessions(self) -> DataFrame:
         return self.table("sessions")
@@ -75,7 +77,10 @@ class Archive:
     # commands
 
     def index(self, root: str, project: str | None = None, rebuild: bool = False, tool_blocks: bool = False, sweep: bool = False, now: str | None = None) -> dict:
-        """Bring the archive up to date with the transcripts below root; counts of what happened. Files whose time is known are listed but not opened."""
+        """Bring the archive up to date with the transcripts below root; counts of what happened. Files whose time is known are listed but not opened.
+
+        Messages, sessions, text index and vectors change in one entry; a run that finds nothing to do writes nothing.
+        """
         sessions, messages = self.sessions, self.messages
         if rebuild:
             gone = sessions if project is None else sessions.where(F.col("project_slug") == project)
@@ -99,20 +104,41 @@ class Archive:
         if sweep:
             after = after.join(missing.select("session_id"), "session_id", "left_anti")
             kept = kept.join(missing.select("session_id"), "session_id", "left_anti")
-        self._commit(sessions=kept, messages=after.select(*messages.columns))
+        idle = not changed and not rebuild and not (sweep and report["swept"])
+        if not idle or not self._index_matches(messages):
+            # read back once written, as index and vectors both follow from the ids
+            places = {"sessions": self._write("sessions", kept), "messages": self._write("messages", after.select(*messages.columns))}
+            stored = self.spark.read.parquet(places["messages"])
+            fresh = self._refreshed(stored)
+            tables = {"postings": fresh.postings, "doc_stats": fresh.doc_stats, "vectors": ingest.surviving_vectors(self.vectors, stored)}
+            self._enter(places | {name: self._write(name, df) for name, df in tables.items()})
         new_sessions.unpersist()
-        self.refresh_index()
-        self._commit(vectors=ingest.surviving_vectors(self.vectors, self.messages))
         return report
 
+    def _index_matches(self, messages: DataFrame) -> bool:
+        """Whether the text index holds these messages and no others, by their ids."""
+        ids = self.text_index.doc_stats.select("msg_id")
+        return messages.join(ids, "msg_id", "left_anti").isEmpty() and ids.join(messages, "msg_id", "left_anti").isEmpty()
+
+    def _refreshed(self, messages: DataFrame) -> fts.Index:
+        idx = self.text_index
+        fresh = messages.join(idx.doc_stats, "msg_id", "left_anti").select("msg_id", "content")
+        gone = idx.doc_stats.join(messages, "msg_id", "left_anti").select("msg_id")
+        return fts.refresh(idx, fresh, gone)
+
     def refresh_index(self) -> None:
         """Postings of messages that have come, without those of messages that are gone."""
-        idx, m = self.text_index, self.messages
-        fresh = m.join(idx.doc_stats, "msg_id", "left_anti").select("msg_id", "content")
-        gone = idx.doc_stats.join(m, "msg_id", "left_anti").select("msg_id")
-        new = fts.refresh(idx, fresh, gone)
+        new = self._refreshed(self.messages)
         self._commit(postings=new.postings, doc_stats=new.doc_stats)
 
+    def vacuum(self) -> int:
+        """Delete tables that no longer are the newest of their name; how many. Readers of older states must be done."""
+        kept = {where.rsplit("/", 1)[-1] for where in self._current()[1].values()}
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName() not in kept] if kept and fs.exists(path) else []
+        return sum(fs.delete(x, True) for x in old)
+
     def search(self, query: str, **options) -> search.Response:
         return search.search(self.text_index, self.messages, self.sessions, query, vectors=self.vectors if options.get("embedder") else None, **options)
 
@@ -128,6 +154,22 @@ class Archive:
         done.unpersist()
         return counts
 
+    def embedded(self, project: str | None = None) -> int:
+        """Messages, of a project if given, that have a vector."""
+        messages = self.messages
+        if project:
+            messages = messages.join(self.sessions.where(F.lower("project_slug") == project.lower()), "session_id", "left_semi")
+        return messages.join(self.vectors, "msg_id", "left_semi").count()
+
+    def auto_embed(self, factory, model: str, new_messages: int, enabled: bool, reachable: bool) -> dict | None:
+        """Embed what an index run brought if it is a few messages and the service is there; None if not. A failure is told, not raised: the index stands."""
+        if not embed.should_auto_embed(new_messages, enabled, reachable):
+            return None
+        try:
+            return self.embed(factory, model)
+        except Exception as e:  # the embedding comes on top of an index run that has succeeded
+            return {"embedded": 0, "dropped": 0, "error": str(e)}
+
     def topics(self, **options) -> dict:
         return topics.topics(self.vectors, self.messages, self.sessions, **options)
 
@@ -171,6 +213,46 @@ class Archive:
             self._commit(messages=m.withColumn("content_kind", kind_of(F.col("content"), F.col("role"))))
         return report
 
+    def relocate(self, root: str, old_slug: str, new_slug: str, force: bool = False, dry_run: bool = False) -> dict:
+        """A project's folder below root and its sessions under another slug; ids, and with them vectors, stay. Counts, and whether the folder moved.
+
+        ValueError for one slug twice, a missing folder or one that is in the way; with force, that one is put aside and deleted once
+        the change is in the catalog. If the catalog can't be written, the folders go back to where they were.
+        """
+        at = lambda slug: self.spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{slug}")
+        source, target, aside = at(old_slug), at(new_slug), at(f".{new_slug}.{uuid.uuid4().hex}")
+        fs = source.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if old_slug == new_slug:
+            raise ValueError(f"{old_slug!r} is both slugs")
+        if not fs.exists(source):
+            raise ValueError(f"no folder {source}")
+        there = fs.exists(target)
+        if there and not force:
+            raise ValueError(f"{target} exists")
+        report = ingest.migration_totals(self.sessions, self.messages, old_slug).first().asDict()
+        mine = self.messages.join(self.sessions.where(F.col("project_slug") == old_slug), "session_id", "left_semi")
+        report |= {"n_vectors": self.vectors.join(mine, "msg_id", "left_semi").count(), "moved": False}
+        base = root.rstrip("/").removeprefix("file://")
+        changed = ingest.migrate_project(self.sessions, old_slug, new_slug, f"{base}/{old_slug}/", f"{base}/{new_slug}/", force)
+        if dry_run:
+            return report
+        if there and not fs.rename(target, aside):
+            raise OSError(f"can't put {target} aside")
+        try:
+            if not fs.rename(source, target):
+                raise OSError(f"can't move {source}")
+            report["moved"] = True
+            self._commit(sessions=changed)
+        except BaseException:
+            if report["moved"]:
+                fs.rename(target, source)
+            if there:
+                fs.rename(aside, target)
+            raise
+        if there:
+            fs.delete(aside, True)
+        return report
+
     def migrate(self, old_slug: str, new_slug: str, old_root: str, new_root: str, force: bool = False, dry_run: bool = False) -> dict:
         report = ingest.migration_totals(self.sessions, self.messages, old_slug).first().asDict()
         moved = ingest.migrate_project(self.sessions, old_slug, new_slug, old_root, new_root, force)
