@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import urllib.error
+import urllib.request
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -59,6 +63,78 @@ def probe(embedder: Embedder) -> tuple[bool, str]:
         return False, str(e)
 
 
+class EmbeddingError(RuntimeError):
+    """The service couldn't be reached, refused, or gave vectors that can't be used."""
+
+
+@dataclass
+class Probe:
+    """How far a service's answers go: it is there, it knows the model, it embeds."""
+
+    reachable: bool = False
+    version: str | None = None
+    model_present: bool = False
+    embed_ok: bool = False
+    dim: int | None = None
+    error: str | None = None
+
+
+@dataclass(frozen=True)
+class HttpEmbedder:
+    """Client of a service with /api/embed, /api/tags and /api/version, JSON over HTTP. It has no open connection, so a factory can be `lambda: client`.
+
+    Texts longer than max_chars are cut before they are sent, so that one of them can't fail its batch; answers go through
+    checked(). Whatever goes wrong is an EmbeddingError with the beginning of the service's own words.
+    """
+
+    base_url: str = "http://localhost:11434"
+    model: str = "nomic-embed-text"
+    timeout: float = 10.0
+    max_chars: int | None = MAX_CHARS
+    keep_alive: str | None = None
+
+    def _ask(self, what: str, body: dict | None = None) -> dict:
+        request = urllib.request.Request(f"{self.base_url.rstrip('/')}/api/{what}", None if body is None else json.dumps(body).encode(), {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                value = json.load(answer)
+        except urllib.error.HTTPError as e:
+            raise EmbeddingError(f"{e.code} from /api/{what}: {e.read(500).decode('utf-8', 'replace') or e.reason}") from e
+        except (OSError, ValueError) as e:
+            raise EmbeddingError(f"/api/{what}: {e}") from e
+        if not isinstance(value, dict):
+            raise EmbeddingError(f"/api/{what}: not an object")
+        return value
+
+    def embed(self, text: str) -> list[float]:
+        return self.embed_batch([text])[0]
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        body = {"model": self.model, "input": [t[: self.max_chars] for t in texts]} | ({"keep_alive": self.keep_alive} if self.keep_alive else {})
+        try:
+            return checked(self._ask("embed", body).get("embeddings"), len(texts)).tolist()
+        except (TypeError, ValueError) as e:
+            raise EmbeddingError(f"/api/embed: {e}") from e
+
+    def probe(self) -> Probe:
+        """Step by step until one fails; never raises."""
+        got = Probe()
+        try:
+            got.version = self._ask("version").get("version")
+            got.reachable = True
+            names = [m.get("name") for m in self._ask("tags").get("models") or [] if isinstance(m, dict)]
+            got.model_present = self.model.split(":")[0] in {n.split(":")[0] for n in names if isinstance(n, str)}
+            if not got.model_present:
+                raise EmbeddingError(f"the service has no model {self.model!r}")
+            got.dim = len(self.embed("probe"))
+            got.embed_ok = True
+        except EmbeddingError as e:
+            got.error = str(e)
+        return got
+
+
 def embed_backlog(messages: DataFrame, vectors: DataFrame, factory, model: str, now: str, batch: int = BATCH) -> DataFrame:
     """(msg_id, vector, model, dim, embedded_at, error) for each message without a vector. A batch that fails is tried one by one, so that only the offending messages come without a vector, with the error."""
     todo = messages.select("msg_id", "content").join(vectors.select("msg_id"), "msg_id", "left_anti")
