@@ -470,3 +470,103 @@ def png_dims(spark, sf_dir):
 
 
 ORACLE["png_dims"] = "SELECT p_partkey, p_size AS width, p_partkey::INTEGER AS height FROM part"
+
+
+# --- the operators' scopes and upkeep over whole tables
+
+_POOL_ALL_SQL = f"""messages AS (SELECT doc_id AS msg_id, text AS content FROM documents), {_INDEX}, {_bm25('true', ['thing', 'sich', 'les'])},
+pool AS (SELECT msg_id, row_number() OVER (ORDER BY round(score, 6) DESC, msg_id) - 1 AS bm25_rank FROM matches ORDER BY round(score, 6) DESC, msg_id LIMIT 50),
+c AS (SELECT p.msg_id, bm25_rank, lang AS project_slug, {_COS} AS cosine FROM pool p JOIN documents d ON d.doc_id = p.msg_id LEFT JOIN embeddings b ON b.vec_id = p.msg_id LEFT JOIN embeddings a ON a.vec_id = 3)"""
+
+
+@_query(f"WITH {_POOL_ALL_SQL} {_RANKED_SQL} c")
+def rerank_pool_all_vectors(spark, sf_dir):
+    return search.rerank(_pool(spark, sf_dir), T.vectors(spark, sf_dir), _query_vector(spark, sf_dir, 3)).select("msg_id", "bm25_rank", "semantic_rank")
+
+
+@_query(f"""WITH {_POOL_ALL_SQL}, b AS (SELECT msg_id, bm25_rank, cosine * CASE WHEN (SELECT count(DISTINCT project_slug) FROM c) >= 2
+THEN least(1 + 0.05 * (count(*) OVER (PARTITION BY project_slug) - 1), 1.5) ELSE 1 END AS cosine FROM c) {_RANKED_SQL} b""")
+def rerank_boost_all_vectors(spark, sf_dir):
+    return search.rerank(_pool(spark, sf_dir), T.vectors(spark, sf_dir), _query_vector(spark, sf_dir, 3), boost=True).select("msg_id", "bm25_rank", "semantic_rank")
+
+
+@_query(f"""WITH {_messages(True)}, {_INDEX}, {_bm25('true', ['the', 'thing'])}, k AS (SELECT msg_id, CASE WHEN msg_id % 3 <> 0 THEN {_KIND_SQL} END AS kind FROM messages)
+SELECT msg_id, round(score, 4) AS score FROM matches JOIN k USING (msg_id) WHERE kind IS NULL OR kind IN ('PROCEDURAL', 'HARNESS')""")
+def bm25_kinds(spark, sf_dir):
+    m = T.messages(spark, sf_dir, prefixed=True)
+    m = m.withColumn("content_kind", F.when(F.col("msg_id") % 3 != 0, K.kind_of(F.col("content"), F.col("role"))))
+    found = fts.search_index(fts.index(m, stemmed=False), "the OR thing")
+    return search.scoped(found, m, T.sessions(spark, sf_dir), kinds=["PROCEDURAL", "HARNESS"]).select("msg_id", F.round("score", 4).alias("score"))
+
+
+@_query(f"WITH {_SESSIONS}, p AS (SELECT lpad(substring(session_id, 6), 6, '0') || '-Tail' AS session_id, turn_count FROM sessions) SELECT * FROM p WHERE starts_with(lower(session_id), '000017-t')")
+def session_by_prefix(spark, sf_dir):
+    s = T.sessions(spark, sf_dir).withColumn("session_id", F.concat(F.lpad(F.expr("substring(session_id, 6)"), 6, "0"), F.lit("-Tail")))
+    return V.find_session(s, "000017-t").select("session_id", "turn_count")
+
+
+@_query(f"""WITH {_messages()} SELECT session_id, turn_index, (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY session_id, turn_index) AS msg_id FROM messages""")
+def message_ids(spark, sf_dir):
+    return ingest.number_messages(T.messages(spark, sf_dir), T.document_messages(spark, sf_dir)).select("session_id", "turn_index", "msg_id")
+
+
+@_query(f"""WITH {_SESSIONS}, n AS (SELECT CASE WHEN turn_count >= 5 THEN session_id ELSE session_id || '-new' END AS session_id, started_at, turn_count + 1 AS turn_count FROM sessions)
+SELECT session_id, CASE WHEN o.turn_count IS NULL THEN n.started_at ELSE '2023' END AS started_at, coalesce(n.turn_count, o.turn_count)::INTEGER AS turn_count
+FROM n FULL JOIN (SELECT session_id, turn_count FROM sessions) o USING (session_id)""")
+def session_upsert(spark, sf_dir):
+    """An archive of all sessions meets new ones: the longer ones grown by a turn, the others under ids of their own."""
+    s = T.sessions(spark, sf_dir)
+    new = s.withColumn("session_id", F.when(F.col("turn_count") >= 5, F.col("session_id")).otherwise(F.concat("session_id", F.lit("-new")))).withColumn("turn_count", F.col("turn_count") + 1)
+    return ingest.upsert_sessions(s.withColumn("started_at", F.lit("2023")), new).select("session_id", "started_at", "turn_count")
+
+
+def _document_archive(spark, sf_dir):
+    """Documents as messages of one session for each source and language, with kinds and times that follow from their ids, and the sessions."""
+    day = F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("msg_id") % 28).cast("string"), 2, "0"))
+    rows = T.document_messages(spark, sf_dir).withColumn("session_id", F.concat("session_id", F.lit("/"), "project_slug"))
+    rows = rows.withColumns({"content_kind": F.element_at(F.array(F.lit("HARNESS"), F.lit(None), F.lit("THOUGHT")), (F.col("msg_id") % 3 + 1).cast("int")), "timestamp": F.when(F.col("msg_id") % 7 != 0, day)})
+    return rows.drop("project_slug"), rows.select("session_id", "project_slug").distinct().withColumn("started_at", F.lit("2024-01-01"))
+
+
+@_query("""WITH r AS (SELECT vec_id AS msg_id, CASE WHEN vec_id % 5 = 4 THEN 32 ELSE len(embedding) END AS dim FROM embeddings JOIN documents ON doc_id = vec_id
+WHERE lower(lang) = 'en' AND vec_id % 3 <> 0 AND vec_id % 7 <> 0 AND '2024-01-' || lpad((1 + vec_id % 28)::VARCHAR, 2, '0') >= '2024-01-08T00:00:00+00:00')
+SELECT msg_id FROM r WHERE dim = (SELECT arg_min(dim, msg_id) FROM r)""")
+def theme_candidates(spark, sf_dir):
+    """What `topics` clusters: thoughts of one project since a day, with vectors as long as the first one's; each fifth vector is a short one."""
+    v = T.vectors(spark, sf_dir).withColumn("vector", F.when(F.col("msg_id") % 5 == 4, F.slice("vector", 1, 32)).otherwise(F.col("vector")))
+    return topics.candidates(v, *_document_archive(spark, sf_dir), project="EN", since=topics.parse_since("2024-01-08")).select("msg_id")
+
+
+@_query("SELECT vec_id AS msg_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE lower(lang) = 'en')")
+def vectors_after_delete(spark, sf_dir):
+    return ingest.delete_vectors(T.vectors(spark, sf_dir), *_document_archive(spark, sf_dir), project="EN").select("msg_id")
+
+
+@_query(f"WITH {_messages()} SELECT vec_id AS msg_id FROM embeddings WHERE vec_id IN (SELECT msg_id FROM messages)")
+def vectors_surviving(spark, sf_dir):
+    return ingest.surviving_vectors(T.vectors(spark, sf_dir), T.messages(spark, sf_dir)).select("msg_id")
+
+
+@_query("""SELECT coalesce(o.vec_id, n.vec_id) AS msg_id, CASE WHEN n.vec_id IS NULL THEN '2024-06-01T00:00:00+00:00' ELSE '2024-07-02' END AS embedded_at
+FROM embeddings o FULL JOIN (SELECT vec_id + 250 AS vec_id FROM embeddings) n ON o.vec_id = n.vec_id""")
+def vectors_newest(spark, sf_dir):
+    """Vectors meet two later versions of vectors whose ids are 250 higher."""
+    v = T.vectors(spark, sf_dir).drop("cluster_id")
+    new = v.withColumn("msg_id", F.col("msg_id") + 250).withColumn("embedded_at", F.explode(F.array(F.lit("2024-07-01"), F.lit("2024-07-02"))))
+    return ingest.upsert_vectors(v, new).select("msg_id", "embedded_at")
+
+
+_FOUND_SQL = "SELECT DISTINCT 'e--Documents-' || c_mktsegment || '-' || n_name AS slug FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+@_query(f"""WITH f AS ({_FOUND_SQL} UNION SELECT 'x--' || s_name FROM supplier), e AS (SELECT DISTINCT CASE WHEN n_regionkey < 3 THEN 'e--dev-' || n_name ELSE 'e--dev-new' || n_name END AS slug FROM nation),
+c AS (SELECT slug AS candidate, '0' || slug AS ord FROM e UNION ALL SELECT slug, '1' || slug FROM f),
+s AS (SELECT f.slug, arg_min(candidate, ord) AS successor FROM f JOIN c ON candidate <> slug AND string_split(candidate, '-')[-1] = string_split(slug, '-')[-1] WHERE list_contains(string_split(slug, '-'), 'Documents') GROUP BY f.slug)
+SELECT slug, CASE WHEN successor IS NULL THEN 'orphan' ELSE 'pre_migration' END AS state, successor, CASE WHEN successor IS NULL THEN 'WARN' ELSE 'ERROR' END AS severity FROM f LEFT JOIN s USING (slug) WHERE slug NOT IN (SELECT slug FROM e)
+UNION ALL SELECT slug, 'missing', NULL, 'OK' FROM e WHERE slug NOT IN (SELECT slug FROM f)""")
+def orphan_states(spark, sf_dir):
+    n = T.read(spark, sf_dir, "nation")
+    found = T.read(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("e--Documents-"), "c_mktsegment", F.lit("-"), "n_name").alias("slug"))
+    found = found.unionByName(T.read(spark, sf_dir, "supplier").select(F.concat(F.lit("x--"), "s_name").alias("slug")))
+    expected = n.select(F.concat(F.when(F.col("n_regionkey") < 3, "e--dev-").otherwise("e--dev-new"), "n_name").alias("slug"))
+    return orphans.reconcile(found, expected)
