@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from threadloom import cli
+from threadloom.functions.settings import exit_code, lint
 from threadloom.operators.embed import EmbeddingError, HashEmbedder, HttpEmbedder
 from threadloom.plans.archive import Archive
 
@@ -153,3 +154,36 @@ def test_moving_a_project(spark, setup, run, monkeypatch):
     monkeypatch.undo()
     assert a.relocate(str(root), "new", "other", force=True)["moved"]
     assert sorted(os.listdir(root / "other")) == ["one.jsonl", "two.jsonl"]
+
+
+def test_following_a_root(spark, setup):
+    a = Archive(spark, str(setup / "db"))
+
+    def seen():
+        a.follow(str(setup / "root"), str(setup / "check")).awaitTermination()
+        return a.sessions.count(), a.messages.count()
+
+    assert seen() == (2, 5) and seen() == (2, 5) and len(entries(setup)) == 1
+    with open(setup / "root" / "proj" / "two.jsonl", "a") as f:
+        f.write(line("user", "grown"))
+    (setup / "root" / "proj" / "three.jsonl").write_text(line("user", "new"))
+    assert seen() == (3, 7) and len(entries(setup)) == 2
+
+
+@pytest.mark.parametrize(
+    ("command", "shell", "there", "code"),
+    [
+        ("/x/run.sh", None, True, 2),
+        ("/x/run.sh", "bash", True, 0),
+        ("/x/run.sh", "bash", False, 2),
+        ('"C:\\\\bin\\\\tool.exe" --all', None, True, 0),
+        ("tool.cmd", None, False, 2),
+        ("tool --all", None, False, 0),
+        ("${HOME}/tool", None, False, 0),
+        ("@{ a = 1 }", None, False, 0),
+    ],
+)
+def test_paths_in_settings(command, shell, there, code):
+    hook = {"type": "command", "command": command} | ({"shell": shell} if shell else {})
+    found = lint(json.dumps({"hooks": {"Start": [{"hooks": [hook]}]}}), exists=lambda p: there)
+    assert exit_code(found) == code

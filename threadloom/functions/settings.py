@@ -7,6 +7,11 @@ import os
 import shlex
 
 SHELLS = ("bash", "powershell")
+#: Endings of scripts that need a shell to run, and of all files that can be run (fixed values).
+SCRIPTS = (".ps1", ".sh")
+PROGRAMS = (".exe", ".ps1", ".sh", ".bat", ".cmd")
+#: How a command begins that is an expression and not a path (fixed values).
+INLINE = ("@{", "${", "{")
 
 
 def lint(text: str, exists=os.path.exists) -> list[tuple[str, str]]:
@@ -50,8 +55,14 @@ def _hook(hook, exists):
         return [*out, ("ERROR", "no command")]
     if hook.get("shell") not in (None, *SHELLS):
         out.append(("WARN", f"unknown shell {hook['shell']!r}"))
+    head = command.split()[0].strip('"')
+    if head.lower().endswith(SCRIPTS) and "shell" not in hook:
+        out.append(("ERROR", f"a script without a shell: {head}"))
+    a_path = not command.startswith(INLINE) and not head.startswith("$") and ("/" in head or "\\" in head or head.lower().endswith(PROGRAMS))
+    if a_path and not exists(head):
+        return [*out, ("ERROR", f"no such file: {head}")]
     try:
-        words = shlex.split(command)
+        words = shlex.split(command)[1:]
     except ValueError:
         return [*out, ("WARN", "quotes don't match")]
     out += [("WARN", f"no such file: {w}") for w in words if w.endswith((".sh", ".ps1", ".py")) and not w.startswith("$") and not exists(w)]

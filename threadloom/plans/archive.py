@@ -115,6 +115,17 @@ class Archive:
         new_sessions.unpersist()
         return report
 
+    def follow(self, root: str, checkpoint: str, **options):
+        """Start a stream of the transcripts that come below root: each batch with new files brings the whole archive up to date, files that have grown included. It ends when all files present have been seen; a batch that runs again changes nothing."""
+        files = self.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+        names = files.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root).select("path")
+
+        def update(batch: DataFrame, _: int) -> None:
+            if not batch.isEmpty():
+                self.index(root, **options)
+
+        return names.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(update).start()
+
     def _index_matches(self, messages: DataFrame) -> bool:
         """Whether the text index holds these messages and no others, by their ids."""
         ids = self.text_index.doc_stats.select("msg_id")
