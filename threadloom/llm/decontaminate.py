@@ -43,14 +43,20 @@ BLOCK_WORDS = 30_000
 DENSE = 1 / 256
 #: Passages that are multiplied at once.
 ROWS = 4096
+#: Of these, as many meet the terms without dense columns at once. It decides speed only.
+BLOCK_ROWS = 64
 SEED = 7
 SKETCH_TERMS = 64
 #: How many tasks' sketches are summed up, level by level.
 TREE = (64, 4096, 1 << 40)
+#: Lengths of subsequences stand above this many bits of their begins.
+CELL_BITS = 32
+CELL = 1 << CELL_BITS
 SKETCH = "first long, task long, y binary"
 #: Bytes of words: A-Z lower-cased, ASCII marks taken for white space.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-LETTERS = np.frombuffer(WORDS, np.uint8)
+MARKS = bytes(b for b in range(256) if WORDS[b] == 32)
+INSIDE = bytes(WORDS[b] != 32 for b in range(256))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -74,16 +80,19 @@ class Coded:
     """Texts as numbers of their words: the item term, or -1 for words of no item."""
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, terms: pa.Array):
-        letters = LETTERS[data]
-        inside = letters != 32
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
+        raw = data.tobytes()
+        inside = np.frombuffer(raw.translate(INSIDE), bool)
+        first, last = inside.copy(), inside.copy()
+        first[1:] = inside[1:] > inside[:-1]
+        last[:-1] = inside[:-1] > inside[1:]
         begins = ends[:-1][np.diff(ends, prepend=0)[1:] > 0]
-        first[begins] = inside[begins]
-        at = np.concatenate([[0], np.cumsum(inside)])[np.append(np.flatnonzero(first), len(data))].astype(np.int32)
-        array = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(letters[inside]))])
+        first[begins], last[begins - 1] = inside[begins], inside[begins - 1]
+        start = np.flatnonzero(first)
+        at = np.zeros(len(start) + 1, np.int32)
+        np.cumsum(np.flatnonzero(last) + 1 - start, out=at[1:])
+        array = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(raw.translate(WORDS, MARKS))])
         self.words = np.asarray(pc.index_in(array, value_set=terms).fill_null(-1))
-        self.ends = np.concatenate([[0], np.cumsum(first)])[ends]
+        self.ends = np.searchsorted(start, ends)
         self.starts = np.concatenate([[0], self.ends[:-1]])
         #: Each text has its tiles and then an empty one; `base` is its first.
         self.n_tiles = -(-(self.ends - self.starts) // TILE) + 1
@@ -118,23 +127,22 @@ def lcs_length(item: list[int], words: list[int]) -> int:
 def lcs_span(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Length of a longest common subsequence, and where in words it begins and ends (the shortest end-first choice)."""
     n = len(words)
-    length = np.zeros(n + 1, np.int64)
-    begin = np.arange(n + 1)
-    for t in item:
-        same = np.concatenate([[False], words == t])
+    # a cell is its length and, in the low bits, its begin
+    cells, column = np.arange(n + 1), np.arange(n + 1)
+    for t in item.tolist():
+        before = (words == t).nonzero()[0]
+        if not len(before):
+            continue
         # candidates that take a match, with the row above; then the best so far from the left
-        new, nb = length.copy(), begin.copy()
-        at = np.flatnonzero(same)
-        grown = length[at - 1] + 1
-        first = np.where(length[at - 1] == 0, at - 1, begin[at - 1])
-        better = (grown > new[at]) | ((grown == new[at]) & (first > nb[at]))
-        new[at[better]], nb[at[better]] = grown[better], first[better]
-        top = np.maximum.accumulate(new)
-        src = np.maximum.accumulate(np.where(new == top, np.arange(n + 1), 0))
-        length, begin = top, np.where(top > 0, nb[src], np.arange(n + 1))
+        grown, at = cells[before] + CELL, before + 1
+        cells[at] = np.maximum(cells[at], grown)
+        length = cells >> CELL_BITS
+        src = np.maximum.accumulate(np.where(length == np.maximum.accumulate(length), column, 0))
+        cells = cells[src]
+    length = cells >> CELL_BITS
     best = int(length[-1])
     end = int(np.searchsorted(length, best))
-    return best, int(begin[end]), end
+    return best, int(cells[end] & (CELL - 1)), end
 
 
 class Weights:
@@ -146,7 +154,10 @@ class Weights:
         self.column[self.dense] = np.arange(len(self.dense))
 
     def of(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, n_rows: int, unit: bool):
-        """(columns of the dense terms, rows and terms of the others, their weights) of n_rows passages; rows in order. unit: each row of length 1."""
+        """(columns of the dense terms, blocks of the others) of n_rows passages; rows in order. unit: each row of length 1.
+
+        A block is its first row, a matrix of BLOCK_ROWS rows by the terms that occur in them, and these terms.
+        """
         w = (1 + np.log(times)) * self.idf[term]
         if unit:
             w /= np.sqrt(np.bincount(row, w * w, n_rows))[row]
@@ -155,24 +166,33 @@ class Weights:
         there = column >= 0
         x = np.zeros((n_rows, len(self.dense)), np.float32)
         x[row[there], column[there]] = w[there]
-        return x, row[~there], term[~there], w[~there, None]
+        return x, self._blocks(row[~there], term[~there], w[~there], n_rows)
+
+    def _blocks(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, n_rows: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        first = np.arange(0, n_rows, BLOCK_ROWS)
+        block, n_terms = row // BLOCK_ROWS, len(self.idf)
+        key, at = np.unique(block * n_terms + term, return_inverse=True)
+        cut = np.searchsorted(key, np.arange(len(first) + 1) * n_terms)
+        width, height = np.diff(cut), np.minimum(BLOCK_ROWS, n_rows - first)
+        size = np.concatenate([[0], np.cumsum(width * height)])
+        y = np.zeros(size[-1], np.float32)
+        y[size[block] + (row - first[block]) * width[block] + at - cut[block]] = w
+        key %= n_terms
+        return [(int(first[b]), y[size[b] : size[b + 1]].reshape(height[b], width[b]), key[cut[b] : cut[b + 1]]) for b in np.flatnonzero(width)]
 
     def times(self, parts, matrix: np.ndarray) -> np.ndarray:
-        x, row, term, w = parts
+        x, blocks = parts
         out = x @ matrix[self.dense]
-        if len(row):
-            starts = np.flatnonzero(np.diff(row, prepend=-1))
-            out[row[starts]] += np.add.reduceat(matrix[term] * w, starts)
+        for first, y, terms in blocks:
+            out[first : first + len(y)] += y @ matrix[terms]
         return out
 
     def add_back(self, parts, image: np.ndarray, total: np.ndarray) -> None:
         """total += the passages, transposed, times their image."""
-        x, row, term, w = parts
+        x, blocks = parts
         total[self.dense] += x.T @ image
-        if len(row):
-            order = np.argsort(term, kind="stable")
-            starts = np.flatnonzero(np.diff(term[order], prepend=-1))
-            total[term[order][starts]] += np.add.reduceat(image[row[order]] * w[order], starts)
+        for first, y, terms in blocks:
+            total[terms] += y.T @ image[first : first + len(y)]
 
 
 class Space:
