@@ -2,9 +2,10 @@
 
 import math
 
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
+from threadloom.functions import stems
 from threadloom.operators import fts, search
 
 
@@ -41,3 +42,17 @@ def test_batch_scores_stay_where_postings_are(spark, texts, among):
     assert {(r.query_id, r.msg_id): r["rank"] for r in rows.collect()} == best(texts, queries, 7, among)
     assert "LeftSemi" in plan(rows).replace(" ", "") and not any("hashpartitioning" in x and "query_id" in x and "msg_id" in x for x in plan(rows).splitlines())
     assert "collect_list" not in plan(rows)
+
+
+def test_stemming_holds_one_group_of_texts(spark):
+    """Neither all rows of an Arrow batch at once, nor two workers a task, as a column function would have."""
+    groups = list(stems._groups(pa.array(["x" * 1000] * 9999 + [None])))
+    assert sum(len(g) for _, g in groups) == 10000 and [a for a, _ in groups] == [sum(len(g) for _, g in groups[:k]) for k in range(len(groups))]
+    assert max(sum(map(len, g)) for _, g in groups) <= stems.GROUP + 1000
+    texts = [(k, t) for k, t in enumerate(["Running RUNS", "", None, "Caf\u00e9s \u039f\u0394\u039f\u03a3 \u0130x", "a_b-c 12 \u00bd"] * 7)]
+    idx = fts.index(spark.createDataFrame(texts, "msg_id long, content string"))
+    assert {r.msg_id: r.dl for r in idx.doc_stats.collect()} == {k: len(stems.terms(t)) for k, t in texts}
+    assert {(r.term, r.msg_id): r.positions for r in idx.postings.collect()} == {(w, k): [p for p, x in enumerate(stems.terms(t)) if x == w] for k, t in texts for w in stems.terms(t)}
+    found = fts.search_index(idx, "runs OR cafe")
+    assert {r.msg_id for r in found.collect()} == {k for k, t in texts if k % 5 in (0, 3)}
+    assert "MapInArrow" in plan(found) and "ArrowEvalPython" not in plan(found)
