@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from threadloom.functions import stems
-from threadloom.operators import fts, search
+from threadloom.operators import fts, search, topics
 
 
 def plan(df) -> str:
@@ -56,3 +56,13 @@ def test_stemming_holds_one_group_of_texts(spark):
     found = fts.search_index(idx, "runs OR cafe")
     assert {r.msg_id for r in found.collect()} == {k for k, t in texts if k % 5 in (0, 3)}
     assert "MapInArrow" in plan(found) and "ArrowEvalPython" not in plan(found)
+
+
+def test_labels_aggregate_by_hash_and_keep_the_order_of_first_use(spark):
+    """Ties go by id, then place, also for ids below zero and of 63 bits; a cluster without words and one without an id stay."""
+    big = 2**63 - 1
+    rows = [(1, -7, "zebra apple zebra apple"), (1, 3, "mango mango"), (2, big, "kiwi"), (2, big - 1, "lemon pears kiwi lemon pears"), (3, 5, "the of"), (3, 6, None), (None, 9, "plum mango")]
+    made = topics.labels(spark.createDataFrame(rows, "cluster_id int, msg_id long, content string"))
+    steps = plan(made).splitlines()
+    assert sum("posexplode" in x for x in steps) == 1 and not any("SortAggregate" in x and "term" in x for x in steps)
+    assert {r.cluster_id: r.label for r in made.collect()} == {1: "zebra / apple", 2: "lemon / pears / kiwi", 3: topics.NO_TERMS, None: topics.NO_TERMS}

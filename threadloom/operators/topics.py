@@ -110,16 +110,21 @@ def centroid_similarity(rows: DataFrame) -> DataFrame:
 
 
 def labels(rows: DataFrame, terms: int = TERMS) -> DataFrame:
-    """(cluster_id, label): the words of highest tf * ln(clusters / df), ties by first use; words in more than half of all clusters don't count."""
-    words = rows.select("cluster_id", "msg_id", F.posexplode(label_words(F.col("content"))).alias("pos", "term"))
-    tf = words.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min(F.struct("msg_id", "pos")).alias("first"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(cluster_id, label): the words of highest tf * ln(clusters / df), ties by first use; words in more than half of all clusters don't count.
+
+    A word's first use is one number, its message's id before its place there: a pair of both would be aggregated by sorting
+    every word of the corpus, a number is in a hash table with one entry for each word of a cluster.
+    """
+    words = rows.select("cluster_id", (F.col("msg_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")).alias("before"), F.posexplode_outer(label_words(F.col("content"))).alias("pos", "term")).where("term is not null")
+    tf = words.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min(F.col("before") + F.col("pos")).alias("first"))
+    df = F.count(F.lit(1)).over(Window.partitionBy("term"))
     n = rows.agg(F.count_distinct("cluster_id").alias("n"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(n)).where(F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * SHARE))).withColumn("w", F.col("tf") * F.ln(F.col("n") / F.col("df")))
+    scored = tf.withColumn("df", df).crossJoin(F.broadcast(n)).where(F.col("df") <= F.greatest(F.lit(1), F.floor(F.col("n") * SHARE))).withColumn("w", F.col("tf") * F.ln(F.col("n") / F.col("df")))
     top = Window.partitionBy("cluster_id").orderBy(F.desc("w"), "first")
     best = scored.withColumn("k", F.row_number().over(top)).where(F.col("k") <= terms)
     named = best.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda s: s["term"]), " / ").alias("label"))
-    return rows.select("cluster_id").distinct().join(named, "cluster_id", "left").select("cluster_id", F.coalesce("label", F.lit(NO_TERMS)).alias("label"))
+    known = rows.select("cluster_id").distinct().withColumn("label", F.lit(None).cast("string")).unionByName(named).groupBy("cluster_id").agg(F.max("label").alias("label"))
+    return known.select("cluster_id", F.coalesce(F.when(F.col("cluster_id").isNotNull(), F.col("label")), F.lit(NO_TERMS)).alias("label"))
 
 
 def themes(rows: DataFrame, min_size: int = MIN_SIZE, limit: int = LIMIT) -> DataFrame:
